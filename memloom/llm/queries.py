@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import packing, spans
+from memloom.llm import conversations, packing, spans
 from memloom.sources.tables import small_table, table
 
 
@@ -17,6 +17,14 @@ def _budgets(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
     return [(r.budget_id, r.capacity_tokens) for r in small_table(spark, sf_dir, "pack_budgets", 1000)]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.dropped(table(spark, sf_dir, "messages"))
+
+
+def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.rebuild(table(spark, sf_dir, "messages"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = spans.split_oversized(table(spark, sf_dir, "memories"), "content", _configs(spark, sf_dir), ["memory_id"])
     return cut.where(F.size("pieces") > 1).select("config_id", "memory_id")
@@ -37,7 +45,7 @@ def p7_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.utilization(packing.pack(table(spark, sf_dir, "documents"), "text", budgets), budgets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p7_found, p7_utilization)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p7_found, p7_utilization)}
 
 ORACLE = {
     "p2_found": "select config_id, memory_id from memories, span_configs where length(content) > max_chars",
