@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import conversations, packing, spans
+from memloom.llm import conversations, packing, pii, spans
 from memloom.sources.tables import small_table, table
 
 
@@ -35,6 +35,17 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("config_id", "memory_id", F.posexplode("pieces").alias("piece", "x")).select("config_id", "memory_id", "piece", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), "x.text")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "messages").select(F.col("delivery_id").cast("string").alias("row_key"), "text")
+    memories = table(spark, sf_dir, "memories").select(F.col("memory_id").alias("row_key"), F.col("content").alias("text"))
+    parts = [pii.find(t, "row_key", "text").withColumn("source_table", F.lit(name)) for t, name in ((messages, "messages"), (memories, "memories"))]
+    return parts[0].unionByName(parts[1]).select("source_table", "row_key", "pii_type", "start_pos")
+
+
+def p6_redacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "messages").select("delivery_id", pii.redacted(F.col("text")).alias("text"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), "text", _budgets(spark, sf_dir))
     return packed.where("oversized and from_byte = 0").select("budget_id", "doc_id")
@@ -45,7 +56,7 @@ def p7_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.utilization(packing.pack(table(spark, sf_dir, "documents"), "text", budgets), budgets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p7_found, p7_utilization)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p6_found, p6_redacted_messages, p7_found, p7_utilization)}
 
 ORACLE = {
     "p2_found": "select config_id, memory_id from memories, span_configs where length(content) > max_chars",
