@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values: (?U) makes \s every Unicode white space.
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+#: Fixed value: every Unicode white space.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
 def trimmed(c: Column | str) -> Column:
     """Without white space (Unicode) at either end; null stays null."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(SPACE))
 
 
 def clean_id(c: Column | str) -> Column:

@@ -11,13 +11,13 @@ The joins that bring a label back to its pairs are plain equi-joins that adaptiv
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.keys import clean_id
-from memloom.staging import drop, stage
+from memloom.staging import drop, release, stage
 
 #: A null scope is a scope of its own; no cleaned scope can contain this value.
 NO_SCOPE = "\u0000"
@@ -49,66 +49,51 @@ def surplus_of_key(df: DataFrame, scope: str, identifier: str, time: str, key: s
     return rows.join(keep_first(df, scope, identifier, time, key), key, "left_anti")
 
 
-def link_copies(df: DataFrame, scope: str, ids: Sequence[str], time: str, key: str, fold: Mapping[str, Column] | None = None) -> DataFrame:
-    """Each distinct combination of identifiers with the key of the row that its group keeps.
+def linked_pairs(df: DataFrame, scope: str, ids: Sequence[str], time: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, links) over the distinct combinations of identifiers.
 
-    Columns: ``scope_id``, one cleaned column for each of ``ids`` (null if blank), ``keeper`` (the ``key`` of the first
-    row of the group), ``first`` (the order struct of the combination's own first row) and the aggregates in ``fold``.
-    Rows without any identifier are not in the result: each is a message of its own.
+    ``pairs``: scope_id, the cleaned ``ids`` and ``first``, the order struct of the combination's own first row, which
+    stands for it. ``links``: of combinations that meet another one only, scope_id, the ids, ``pair`` (the key of its own
+    first row) and ``keeper`` (the key of the first row of the whole group). Rows without any identifier are in neither.
     """
-    cleaned = [f"id{i}" for i in range(len(ids))]
-    fold = dict(fold or {})
-    source = df.withColumns({"_s": F.coalesce(scope, F.lit(NO_SCOPE)), "_o": delivery_order(time, key)} | {c: clean_id(x) for c, x in zip(cleaned, ids)})
-    pairs = (
-        source.where(F.coalesce(*cleaned).isNotNull())
-        .groupBy("_s", *cleaned)
-        .agg(F.min("_o").alias("first"), *[v.alias(k) for k, v in fold.items()])
-    )
-    pairs = stage(pairs)
-    labels = _labels(pairs.select("_s", *cleaned, "first"), cleaned)
-    out = pairs.join(labels, F.col("first.key") == F.col("_pair"), "left")
-    return out.select(
-        F.col("_s").alias("scope_id"),
-        *[F.col(c).alias(x) for c, x in zip(cleaned, ids)],
-        F.coalesce("_keeper", "first.key").alias("keeper"),
-        "first",
-        *fold,
-    )
+    cleaned = [F.coalesce(clean_id(x), F.lit("")).alias(f"id{i}") for i, x in enumerate(ids)]
+    names = [f"id{i}" for i in range(len(ids))]
+    rows = df.select(F.coalesce(scope, F.lit(NO_SCOPE)).alias("scope_id"), *cleaned, delivery_order(time, key).alias("_o"))
+    pairs = stage(rows.where(F.greatest(*names) != "").groupBy("scope_id", *names).agg(F.min("_o").alias("first")))
+    links = _links(pairs, names)
+    release(df.sparkSession)
+    return pairs, links
 
 
-def _labels(pairs: DataFrame, cleaned: list[str]) -> DataFrame:
-    """(_pair, _keeper) of each pair that meets another one; a pair is named by the key of its first row."""
-    shared = []
-    for c in cleaned:
-        many = pairs.where(F.col(c).isNotNull()).groupBy("_s", c).agg(F.count("*").alias("_n"), F.min("first").alias(f"_l_{c}")).where("_n > 1").drop("_n")
-        shared.append(many)
+def _links(pairs: DataFrame, names: list[str]) -> DataFrame:
     met = pairs
-    for c, many in zip(cleaned, shared):
-        met = met.join(many, ["_s", c], "left")
-    found = [f"_l_{c}" for c in cleaned]
-    met = met.where(F.coalesce(*found).isNotNull())
+    for c in names:
+        many = pairs.where(F.col(c) != "").groupBy("scope_id", c).agg(F.count("*").alias("_n"), F.min("first").alias(f"_l_{c}")).where("_n > 1").drop("_n")
+        met = met.join(many, ["scope_id", c], "left")
+    found = [f"_l_{c}" for c in names]
     label = F.least("first", *found)
-    now = stage(met.select("_s", *cleaned, "first", label.alias("label"), (label < F.col("first")).alias("moved")))
+    now = stage(met.where(F.coalesce(*found).isNotNull()).select("scope_id", *names, "first", label.alias("label"), (label < F.col("first")).alias("moved")))
     while now.where("moved").limit(1).count():
-        nxt = now
-        for c in cleaned:
-            least = now.where(F.col(c).isNotNull()).groupBy("_s", c).agg(F.min("label").alias(f"_l_{c}"))
-            nxt = nxt.join(least, ["_s", c], "left")
-        step = nxt.withColumn("_best", F.least("label", *found))
+        step = now
+        for c in names:
+            least = now.where(F.col(c) != "").groupBy("scope_id", c).agg(F.min("label").alias(f"_l_{c}"))
+            step = step.join(least, ["scope_id", c], "left")
+        step = step.withColumn("_best", F.least("label", *found))
         # What any member of a group has found goes to all of it, so chains of any length close in few rounds.
         whole = step.groupBy("label").agg(F.min("_best").alias("_whole"))
-        step = step.join(whole, "label").select("_s", *cleaned, "first", F.col("_whole").alias("label"), (F.col("_whole") < F.col("label")).alias("moved"))
+        step = step.join(whole, "label").select("scope_id", *names, "first", F.col("_whole").alias("label"), (F.col("_whole") < F.col("label")).alias("moved"))
         new = stage(step)
         drop(now)
         now = new
-    return now.select(F.col("first.key").alias("_pair"), F.col("label.key").alias("_keeper"))
+    return now.select("scope_id", *names, F.col("first.key").alias("pair"), F.col("label.key").alias("keeper"))
 
 
 def surplus_of_links(df: DataFrame, scope: str, ids: Sequence[str], time: str, key: str) -> DataFrame:
     """Keys of all rows but the first of each group linked by ``ids``; ``key`` must be unique."""
-    keepers = link_copies(df, scope, ids, time, key).select(F.col("keeper").alias(key))
+    pairs, links = linked_pairs(df, scope, ids, time, key)
     rows = df.where(F.coalesce(*[clean_id(x) for x in ids]).isNotNull()).select(key)
-    return rows.join(keepers, key, "left_anti")
+    within = rows.join(pairs.select(F.col("first.key").alias(key)), key, "left_anti")
+    return within.unionByName(links.where("pair != keeper").select(F.col("pair").alias(key)))
 
 
 def keep_one(df: DataFrame, scope: str, ids: Sequence[str], time: str, key: str) -> DataFrame:

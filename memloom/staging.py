@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -31,13 +32,19 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps; else they stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete the files behind a staged table that no later plan reads."""
     path = getattr(df, "staged_path", None)
