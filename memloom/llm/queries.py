@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import conversations, packing, pii, spans
+from memloom.llm import conversations, leakage, packing, pii, spans, truncation
 from memloom.sources.tables import small_table, table
 
 
@@ -56,7 +56,29 @@ def p7_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.utilization(packing.pack(table(spark, sf_dir, "documents"), "text", budgets), budgets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p6_found, p6_redacted_messages, p7_found, p7_utilization)}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = [(r.item_id, r.text) for r in small_table(spark, sf_dir, "eval_items")]
+    return leakage.find(table(spark, sf_dir, "documents"), items)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items leaked, into how many documents, and the largest part of each that one document holds."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("held").alias("largest_part"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.inspect(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.shares(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p6_found, p6_redacted_messages, p7_found, p7_utilization, p8_found, p8_leaked_items, p9_found, p9_shares)}
 
 ORACLE = {
     "p2_found": "select config_id, memory_id from memories, span_configs where length(content) > max_chars",
