@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.keys import clean_id
-from memloom.operators.copies import NO_SCOPE, link_copies
-from memloom.staging import drop, stage
+from memloom.operators.copies import NO_SCOPE, delivery_order, linked_pairs
+from memloom.staging import drop, release, stage
 
 #: Other spellings of the built-in roles.
 ROLE_ALIASES = {"human_self": "owner", "peer": "contact", "internal": "system"}
@@ -49,93 +49,107 @@ def shown_text(text: str = "text", parts: str = "parts") -> Column:
     return F.when(shows(F.col(text)), F.col(text)).otherwise(of_parts)
 
 
-def fold_turns(messages: DataFrame, with_text: bool = True, deletions: Sequence[str] = DELETIONS) -> tuple[DataFrame, DataFrame]:
-    """(turns, names): one turn for each message, and the names that replies may give it.
+def fold_turns(messages: DataFrame, with_text: bool = True, deletions: Sequence[str] = DELETIONS) -> DataFrame:
+    """One turn for each message: scope_id, turn, name, thread, reply, root, role, at, shows (and text).
 
-    A turn's own thread, reply target, root, role and time are those of its last version that states them; versions
-    follow each other by (``at``, ``received_at``, ``delivery_id``). Its text is the last version's that shows any; a
-    message whose last version is a deletion shows nothing. Columns of turns: scope_id, turn (the kept row's
-    delivery_id), thread, reply, root, role, at, shows, text. Names are message ids, or, of a message that has none, event ids.
+    ``turn`` is the kept row's delivery_id; ``name`` what replies call it: its message id, or its event id if no copy has
+    a message id (null if it has neither). Versions follow each other by (``at``, ``received_at``, ``delivery_id``); time and
+    text are those of the last version that shows text, and a message whose last version is a deletion shows nothing.
+    Ids and roles do not change between versions; should copies disagree, the greatest counts. A turn with several
+    message ids has one row for each, alike but for ``name`` and ``main``, which is true in one of them.
     """
     version = F.struct("at", "received_at", "delivery_id")
     text = shown_text()
-    last = lambda c: F.max_by(c, F.when(c.isNotNull(), version))
     gone = F.coalesce(F.lower(clean_id("message_type")).isin(*deletions), F.lit(False))
-    # ``shows`` costs nothing where the text itself is wanted anyway.
-    said = {"text": F.max_by(text, F.when(text.isNotNull(), version))} if with_text else {"said": F.max(text.isNotNull())}
-    per_pair = {
-        "v": F.max(version),
-        "thread": last(clean_id("thread_id")),
-        "reply": last(clean_id("reply_to_id")),
-        "root": last(clean_id("thread_root_id")),
-        "role": last(F.when(clean_id("actor").isNotNull(), role("actor"))),
-        "gone": F.max_by(gone, version),
-        **said,
-    }
-    pairs = stage(link_copies(messages, "scope_key", ["message_id", "event_id"], "received_at", "delivery_id", per_pair))
-    again = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("v")))
-    folded = pairs.groupBy("keeper").agg(
-        F.first("scope_id").alias("scope_id"),
-        F.max("v").alias("v"),
-        again("thread").alias("thread"),
-        again("reply").alias("reply"),
-        again("root").alias("root"),
-        again("role").alias("role"),
-        F.max_by("gone", "v").alias("gone"),
-        *([again("text").alias("text")] if with_text else [F.max("said").alias("said")]),
-    )
-    alone = messages.where(clean_id("message_id").isNull() & clean_id("event_id").isNull()).select(
-        F.col("delivery_id").alias("keeper"),
-        F.coalesce("scope_key", F.lit(NO_SCOPE)).alias("scope_id"),
-        version.alias("v"),
+    scope = F.coalesce("scope_key", F.lit(NO_SCOPE)).alias("scope_id")
+    ids = [F.coalesce(clean_id("message_id"), F.lit("")).alias("id0"), F.coalesce(clean_id("event_id"), F.lit("")).alias("id1")]
+    said = F.when(text.isNotNull(), F.struct(version.alias("v"), text.alias("text"))) if with_text else text.isNotNull()
+    rows = messages.select(
+        scope,
+        *ids,
+        delivery_order("received_at", "delivery_id").alias("o"),
+        F.struct(version.alias("v"), gone.alias("gone")).alias("last"),
         clean_id("thread_id").alias("thread"),
         clean_id("reply_to_id").alias("reply"),
         clean_id("thread_root_id").alias("root"),
         F.when(clean_id("actor").isNotNull(), role("actor")).alias("role"),
-        gone.alias("gone"),
-        *([text.alias("text")] if with_text else [text.isNotNull().alias("said")]),
+        said.alias("said"),
     )
-    turns = folded.unionByName(alone).select(
-        F.col("keeper").alias("turn"),
+    folded = ["last", "thread", "reply", "root", "role", "said"]
+    greatest = [F.max(c).alias(c) for c in folded]
+    light, links = linked_pairs(messages, "scope_key", ["message_id", "event_id"], "received_at", "delivery_id")
+    # The aggregation and the join share one shuffle; links are few and only mark the combinations that need a second fold.
+    by_pair = rows.where("id0 != '' or id1 != ''").groupBy("scope_id", "id0", "id1").agg(F.min("o").alias("o"), *greatest)
+    pairs = stage(by_pair.join(links, ["scope_id", "id0", "id1"], "left"))
+    drop(light)
+    release(messages.sparkSession)
+    settled = pairs.where("keeper is null").select("scope_id", F.col("o.key").alias("turn"), F.coalesce(F.nullif("id0", F.lit("")), "id1").alias("name"), F.lit(True).alias("main"), *folded)
+    linked = pairs.where("keeper is not null")
+    whole = linked.groupBy(F.col("keeper").alias("turn")).agg(F.max(F.col("id0") != "").alias("has_id"), F.first("scope_id").alias("scope_id"), *greatest)
+    called = linked.select(F.col("keeper").alias("turn"), "id0", "id1").join(whole, "turn").withColumn("name", F.when(F.col("has_id"), F.nullif("id0", F.lit(""))).otherwise(F.col("id1")))
+    called = called.where("name is not null").groupBy("turn", "name").agg(*[F.first(c).alias(c) for c in ("scope_id", *folded)])
+    called = called.withColumn("main", F.row_number().over(Window.partitionBy("turn").orderBy("name")) == 1)
+    alone = rows.where("id0 = '' and id1 = ''").select("scope_id", F.col("o.key").alias("turn"), F.lit(None).cast("string").alias("name"), F.lit(True).alias("main"), *folded)
+    turns = settled.unionByName(called.select(*settled.columns)).unionByName(alone)
+    shown = F.col("said").isNotNull() if with_text else F.col("said")
+    out = turns.select(
         "scope_id",
-        F.col("v.at").alias("at"),
+        "turn",
+        "name",
+        "main",
+        F.col("last.v.at").alias("at"),
         "thread",
         "reply",
         "root",
         F.coalesce("role", F.lit("system")).alias("role"),
-        ((F.col("text").isNotNull() if with_text else F.col("said")) & ~F.col("gone")).alias("shows"),
-        *([F.when(~F.col("gone"), F.col("text")).alias("text")] if with_text else []),
-    )
-    has_id = pairs.groupBy("keeper").agg(F.max(F.col("message_id").isNotNull()).alias("has_id"))
-    nameless = has_id.where("not has_id").select("keeper")
-    names = (
-        pairs.where("message_id is not null")
-        .select("scope_id", F.col("message_id").alias("name"), "keeper")
-        .unionByName(pairs.where("message_id is null").join(nameless, "keeper", "left_semi").select("scope_id", F.col("event_id").alias("name"), "keeper"))
-        .groupBy("scope_id", "name")
-        .agg(F.min("keeper").alias("named"))
+        (shown & ~F.col("last.gone")).alias("shows"),
+        *([F.when(~F.col("last.gone"), F.col("said.text")).alias("text")] if with_text else []),
     )
-    return turns, names
+    out.built_on = pairs
+    return out
 
 
-def assign_threads(turns: DataFrame, names: DataFrame) -> DataFrame:
-    """``turns`` with ``thread`` completed and, of the turn each reply names, ``target`` and ``target_thread``."""
-    named = names.join(turns.select(F.col("turn").alias("named"), F.col("thread").alias("named_thread"), F.col("at").alias("target_at")), "named", "left")
-    linked = stage(turns.join(named.withColumnRenamed("name", "reply"), ["scope_id", "reply"], "left").withColumnRenamed("named", "target"))
+def assign_threads(turns: DataFrame) -> DataFrame:
+    """One row for each turn: ``turns`` with ``thread`` completed and, of the turn its reply names, ``target``, ``target_thread`` and ``target_at``.
+
+    What ``turns`` was staged in is deleted once it has been read; they can't be used afterwards.
+    """
+    names = turns.where("name is not null").groupBy("scope_id", F.col("name").alias("reply")).agg(F.min(F.struct(F.col("turn").alias("target"), F.col("thread").alias("target_thread"), F.col("at").alias("target_at"))).alias("_n"))
+    main = turns.where("main")
+    replying = main.where("reply is not null").join(names, ["scope_id", "reply"], "left").select(*main.columns, "_n.*")
+    silent = main.where("reply is null").select(*main.columns, F.lit(None).cast("long").alias("target"), F.lit(None).cast("string").alias("target_thread"), F.lit(None).cast("timestamp").alias("target_at"))
+    calls = stage(turns.where("thread is null and name is not null").select("scope_id", F.col("name").alias("root"), "turn"))
+    linked = stage(replying.unionByName(silent).drop("name", "main"))
+    drop(getattr(turns, "built_on", None))
+    release(turns.sparkSession)
     loose = linked.where("thread is null")
-    by_root = linked.where("thread is not null and root is not null").groupBy("scope_id", F.col("root").alias("name")).agg(F.min("thread").alias("root_thread"))
-    of_root = names.join(by_root, ["scope_id", "name"]).groupBy(F.col("named").alias("turn")).agg(F.min("root_thread").alias("root_thread"))
-    loose_turns = loose.join(of_root, "turn", "left")
+    by_root = linked.where("thread is not null and root is not null").groupBy("scope_id", "root").agg(F.min("thread").alias("root_thread"))
+    of_root = calls.join(by_root, ["scope_id", "root"]).groupBy("turn").agg(F.min("root_thread").alias("root_thread"))
     # A turn that replies to nothing known falls back on its root at once; the others after their replies.
-    found = loose_turns.select("turn", F.coalesce("named_thread", F.when(F.col("target").isNull(), F.col("root_thread"))).alias("thread"), F.when(F.col("named_thread").isNull(), F.col("target")).alias("next"), "root_thread")
-    settled = _follow(stage(found))
-    late = settled.where("thread is null and root_thread is not null").limit(1).count()
-    if late:
-        settled = _follow(stage(settled.join(found.select("turn", F.col("next").alias("again")), "turn").select("turn", F.coalesce("thread", "root_thread").alias("thread"), F.col("again").alias("next"), "root_thread")))
+    found = stage(
+        loose.join(of_root, "turn", "left").select(
+            "turn",
+            F.coalesce("target_thread", F.when(F.col("target").isNull(), F.col("root_thread"))).alias("thread"),
+            F.when(F.col("target_thread").isNull(), F.col("target")).alias("next"),
+            "root_thread",
+        )
+    )
+    settled = _follow(found)
+    if settled.where("thread is null and root_thread is not null").limit(1).count():
+        again = found.select("turn", F.col("next").alias("again"))
+        settled = _follow(stage(settled.join(again, "turn").select("turn", F.coalesce("thread", "root_thread").alias("thread"), F.col("again").alias("next"), "root_thread")))
     done = settled.where("thread is not null").select("turn", F.col("thread").alias("late_thread"))
-    full = linked.join(done, "turn", "left").withColumn("thread", F.coalesce("thread", "late_thread"))
-    target = done.select(F.col("turn").alias("target"), F.col("late_thread").alias("target_late"))
-    return full.join(target, "target", "left").select(*turns.columns, "target", F.coalesce("named_thread", "target_late").alias("target_thread"), "target_at")
+    # Only turns that had no thread, and turns that reply to such a turn, are touched by what was found.
+    late_target = done.select(F.col("turn").alias("target"), F.col("late_thread").alias("target_late"))
+    open_end = linked.where("thread is null or (target is not null and target_thread is null)")
+    rest = linked.where("not (thread is null or (target is not null and target_thread is null))")
+    filled = (
+        open_end.join(done, "turn", "left")
+        .join(late_target, "target", "left")
+        .withColumns({"thread": F.coalesce("thread", "late_thread"), "target_thread": F.coalesce("target_thread", "target_late")})
+        .select(*linked.columns)
+    )
+    return rest.unionByName(filled)
 
 
 def _follow(rows: DataFrame) -> DataFrame:
@@ -144,32 +158,31 @@ def _follow(rows: DataFrame) -> DataFrame:
     while rows.where("thread is null and next is not null").limit(1).count() and rounds < 64:
         ahead = rows.select(F.col("turn").alias("next"), F.col("thread").alias("_t"), F.col("next").alias("_n"))
         step = rows.join(ahead, "next", "left").select("turn", F.coalesce("thread", "_t").alias("thread"), F.when(F.coalesce("thread", "_t").isNull(), F.col("_n")).alias("next"), "root_thread")
-        new = stage(step)
-        drop(rows)
-        rows, rounds = new, rounds + 1
+        rows, rounds = stage(step), rounds + 1
         if 2**rounds > rows.count():  # what still points on goes round in a circle
             break
     return rows
 
 
 def endless(turns: DataFrame) -> DataFrame:
-    """Conversations (scope_id, thread) in which following the replies never ends. Takes rows of ``assign_threads``."""
+    """Turns (turn) whose replies never end. Takes rows of ``assign_threads``.
+
+    Conversations that need following are picked by a hash of their name; should two share it, one more is followed.
+    """
     inside = turns.where("thread is not null and target is not null and thread = target_thread")
     onward = F.struct("target_at", "target") >= F.struct("at", "turn")
-    suspects = inside.where(onward).select("scope_id", "thread").distinct()
-    replies = inside.select("scope_id", "thread", "turn", F.col("target").alias("next")).join(suspects, ["scope_id", "thread"], "left_semi")
-    rows = stage(replies)
-    longest = rows.groupBy("scope_id", "thread").count().agg(F.max("count")).first()[0] or 0
+    hashed = inside.select(F.xxhash64("scope_id", "thread").alias("c"), "turn", F.col("target").alias("next"), onward.alias("onward"))
+    suspects = hashed.where("onward").select("c").distinct()
+    rows = stage(hashed.drop("onward").join(suspects, "c", "left_semi"))
+    longest = rows.groupBy("c").count().agg(F.max("count")).first()[0] or 0
     reach = 1
-    while reach <= longest:
+    while reach <= longest and rows.limit(1).count():
         ahead = rows.select(F.col("turn").alias("next"), F.col("next").alias("_n"))
-        # Replies whose chain has ended are gone; a row that is left after as many steps as there are replies is in, or leads to, a circle.
-        new = stage(rows.join(ahead, "next").select("scope_id", "thread", "turn", F.col("_n").alias("next")))
+        # Replies whose chain has ended are gone; a row left after as many steps as there are replies is in, or leads to, a circle.
+        new = stage(rows.join(ahead, "next").select("c", "turn", F.col("_n").alias("next")))
         drop(rows)
         rows, reach = new, reach * 2
-        if not rows.limit(1).count():
-            break
-    return rows.select("scope_id", "thread").distinct()
+    return rows.select("turn")
 
 
 def verdicts(turns: DataFrame) -> DataFrame:
@@ -182,7 +195,8 @@ def verdicts(turns: DataFrame) -> DataFrame:
         F.max(F.when(F.col("shows") & (F.col("role") != "system"), F.col("role"))).alias("role_b"),
         F.count_if(F.col("reply").isNotNull() & ~F.coalesce(F.col("target_thread") == F.col("thread"), F.lit(False))).alias("dangling"),
     )
-    circles = endless(turns).withColumn("endless", F.lit(True))
+    circling = turns.select("turn", "scope_id", "thread").join(endless(turns), "turn", "left_semi")
+    circles = circling.groupBy("scope_id", "thread").agg(F.lit(True).alias("endless"))
     few = F.coalesce(F.col("role_a") == F.col("role_b"), F.lit(True))
     return (
         whole.join(circles, ["scope_id", "thread"], "left")
@@ -198,7 +212,7 @@ def rebuild(messages: DataFrame) -> DataFrame:
     Defined results: messages that belong to no thread are in no conversation; an empty table gives none; extra columns
     are ignored.
     """
-    turns = stage(assign_threads(*fold_turns(messages)))
+    turns = stage(assign_threads(fold_turns(messages)))
     sound = verdicts(turns).where("not dropped").select("scope_id", "thread")
     order = Window.partitionBy("scope_id", "thread").orderBy("at", "turn")
     kept = turns.where("shows").join(sound, ["scope_id", "thread"], "left_semi")
@@ -216,5 +230,5 @@ def rebuild(messages: DataFrame) -> DataFrame:
 
 def dropped(messages: DataFrame) -> DataFrame:
     """(scope_key, thread_id) of the conversations that ``rebuild`` drops."""
-    turns = stage(assign_threads(*fold_turns(messages, with_text=False)))
+    turns = assign_threads(fold_turns(messages, with_text=False))
     return verdicts(turns).where("dropped").select(F.nullif(F.col("scope_id"), F.lit(NO_SCOPE)).alias("scope_key"), F.col("thread").alias("thread_id"))
