@@ -71,11 +71,11 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.inspect(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
+    return truncation.inspect(table(spark, sf_dir, "documents"), declared="declared_chars").where("truncated").select("doc_id")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.shares(table(spark, sf_dir, "documents"))
+    return truncation.shares(table(spark, sf_dir, "documents"), declared="declared_chars")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p6_found, p6_redacted_messages, p7_found, p7_utilization, p8_found, p8_leaked_items, p9_found, p9_shares)}

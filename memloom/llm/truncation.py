@@ -88,15 +88,19 @@ def ending_keys(tail: str) -> tuple[str, str, str, str]:
     return words[-1], " ".join(words[-2:]), " ".join(words), names
 
 
-def _endings(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
+#: Characters by which an announced length may differ from that of a whole text (parameter of ``inspect``).
+LOOSE = 5
+
+
+def _endings(documents: DataFrame, key: str, text: str, source: str, declared: str | None) -> DataFrame:
     kind = dict(documents.dtypes)[key]
-    fields = f"kind string, `{key}` {kind}, source string, same long, chars int, bytes int, complete boolean, broken boolean, keys array<string>, ending string, n long"
+    fields = f"kind string, `{key}` {kind}, source string, same long, chars int, bytes int, lacking long, complete boolean, broken boolean, keys array<string>, ending string, n long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, ends = [], Counter()
             seen: set[int] = set()
-            for k, t, s, same in zip(batch[key], batch[text], batch["source"], batch["same"]):
+            for k, t, s, same, lacking in zip(batch[key], batch[text], batch["source"], batch["same"], batch["lacking"].astype("Int64").astype(object).where(batch["lacking"].notna(), None)):
                 t = t.rstrip()
                 mark = _MARK.search(t)
                 base = t[: mark.start()].rstrip() if mark else t
@@ -104,29 +108,31 @@ def _endings(documents: DataFrame, key: str, text: str, source: str) -> DataFram
                     continue
                 open_end = still_open(base)
                 done = _TERMINATOR.search(base) is not None and not open_end
-                rows.append(("text", k, s, same, len(base), len(base.encode("utf-8", "replace")), done, not done and (open_end or _DANGLING.search(base) is not None), None if done else list(ending_keys(base[-120:])), None, None))
+                rows.append(("text", k, s, same, len(base), len(base.encode("utf-8", "replace")), lacking, done, not done and (open_end or _DANGLING.search(base) is not None), None if done else list(ending_keys(base[-120:])), None, None))
                 if same not in seen:
                     seen.add(same)
                     for m in _SENTENCE.finditer(base):
                         one, two, three, names = ending_keys(m[0][-120:])
                         ends.update(("1" + one, "2" + two, "3" + three, *(("4" + names,) if names else ())))
-            rows += [("end", None, None, None, None, None, None, None, None, e, n) for e, n in ends.items()]
-            yield pd.DataFrame(rows, columns=["kind", key, "source", "same", "chars", "bytes", "complete", "broken", "keys", "ending", "n"])
+            rows += [("end", None, None, None, None, None, None, None, None, None, e, n) for e, n in ends.items()]
+            yield pd.DataFrame(rows, columns=["kind", key, "source", "same", "chars", "bytes", "lacking", "complete", "broken", "keys", "ending", "n"])
 
-    chosen = documents.where(F.col(text).isNotNull()).select(key, text, F.coalesce(F.col(source), F.lit("")).alias("source"), F.xxhash64(text).alias("same"))
+    lacking = (F.col(declared) - F.length(text)).cast("long") if declared else F.lit(None).cast("long")
+    chosen = documents.where(F.col(text).isNotNull()).select(key, text, F.coalesce(F.col(source), F.lit("")).alias("source"), F.xxhash64(text).alias("same"), lacking.alias("lacking"))
     return chosen.mapInPandas(run, fields)
 
 
-def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", declared: str | None = None) -> DataFrame:
     """One row for each text that isn't complete at sight: ``key``, source, truncated, and what speaks for it.
 
     Texts that are null, or have nothing but white space and marks, were not cut in mid-sentence; they have no row.
-    A null source is a source of its own.
+    A null source is a source of its own. ``declared`` may name a column with the length the sender announced: it settles
+    texts without terminator, being more than LOOSE characters short or not. Where it is null, the statistics decide.
     """
-    read = stage(_endings(documents, key, text, source))
+    read = stage(_endings(documents, key, text, source, declared))
     ends = read.where("kind = 'end'").groupBy("ending").agg(F.sum("n").alias("n"))
     texts = read.where("kind = 'text'")
-    loose = texts.where("not complete").select(key, "source", "same", "chars", "bytes", "broken", "keys")
+    loose = texts.where("not complete").select(key, "source", "same", "chars", "bytes", "lacking", "broken", "keys")
 
     # What a source's texts without terminator share; copies of a text count once.
     once = loose.groupBy("source", "same").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"), F.first(F.col("keys")[0]).alias("last"))
@@ -153,10 +159,11 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     own_share = F.coalesce(F.col("own"), F.lit(0)) / F.col("loose")
     at_limit = near(F.col("char_limits"), "chars") | near(F.col("byte_limits"), "bytes")
     own_ending = (own_share >= OWN_ENDING) & (F.col("own") >= LIMIT_TEXTS)
+    by_ending = F.col("broken") | (at_limit & ~own_ending) | ~(own_ending | ended)
     return joined.select(
         key,
         "source",
-        (F.col("broken") | (at_limit & ~own_ending) | ~(own_ending | ended)).alias("truncated"),
+        F.coalesce(F.col("lacking") > LOOSE, by_ending).alias("truncated"),
         F.col("broken").alias("left_open"),
         at_limit.alias("at_limit"),
         own_ending.alias("own_ending"),
@@ -164,8 +171,8 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     )
 
 
-def shares(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def shares(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", declared: str | None = None) -> DataFrame:
     """Texts and truncated texts by source, with their share."""
-    cut = inspect(documents, key, text, source).where("truncated").groupBy("source").agg(F.count("*").alias("truncated"))
+    cut = inspect(documents, key, text, source, declared).where("truncated").groupBy("source").agg(F.count("*").alias("truncated"))
     every = documents.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.count("*").alias("texts"))
     return every.join(cut, "source", "left").select("source", "texts", F.coalesce("truncated", F.lit(0)).alias("truncated"), (F.coalesce("truncated", F.lit(0)) / F.col("texts")).alias("share"))
