@@ -81,9 +81,13 @@ def subset(wanted: Sequence[str], tags: Column) -> Column:
 
 def grams(c: Column | str, size: int) -> Column:
     """All n-grams of the compacted text, with repeats."""
+    # Split once and put neighbours together: taking each n-gram out of the text would read it from the start every time.
     text = F.regexp_replace(_col(c), GRAM_DROP, "")
-    n = F.length(text) - (size - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    chars = F.regexp_extract_all(text, F.lit("."), F.lit(0))
+    out = chars
+    for k in range(1, size):
+        out = F.zip_with(out, F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0))), lambda x, y: F.concat(x, y))
+    return F.filter(out, lambda x: x.isNotNull())
 
 
 def lexical_tokens(c: Column | str) -> Column:

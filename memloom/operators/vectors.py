@@ -42,7 +42,7 @@ def search(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k
             v, keys = v[order], keys[order]
             for at in range(0, len(ids), block):
                 sims = np.round(matrix[at : at + block] @ v.T, 9)
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                top = np.argsort(-sims, axis=1, kind="stable")[:, : k + 1]  # one more: a query may find itself
                 yield pd.DataFrame({"query": np.repeat(ids[at : at + block], top.shape[1]), key: keys[top.ravel()], "similarity": np.take_along_axis(sims, top, 1).ravel()})
 
     near = vectors.select(key, embedding).mapInPandas(run, f"query long, `{key}` {kind}, similarity double")

@@ -86,14 +86,16 @@ def c05_lexical_score(spark: SparkSession, d: str) -> DataFrame:
 
     q = re.sub(values.GRAM_DROP, "", _ASK)
     counts = collections.Counter([*q, *(q[i : i + 2] for i in range(len(q) - 1))])
-    asked = F.create_map(*[x for g, n in counts.items() for x in (F.lit(g), F.lit(n))])
+    pairs, total = len(q) - 1, sum(counts.values())
+    known = F.array(*[F.lit(g) for g in counts])
     text = F.regexp_replace(F.lower(F.coalesce("content", F.lit(""))), values.GRAM_DROP, "")
-    grams = F.concat(values.grams(text, 1), values.grams(text, 2))
-    rows = memories(spark, d).select("memory_id", text.alias("t"), F.size(grams).alias("size"), F.explode(grams).alias("g"))
-    met = rows.groupBy("memory_id", "t", "size", "g").agg(F.count("*").alias("n")).withColumn("both", F.least(F.col("n"), asked[F.col("g")])).where(asked[F.col("g")].isNotNull())
-    sums = met.groupBy("memory_id", "t", "size").agg(F.sum("both").alias("o"), F.sum(F.when(F.length("g") == 2, F.col("both")).otherwise(0)).alias("o2"))
-    pairs = len(q) - 1
-    score = F.greatest(F.col("o") / (F.sqrt(F.lit(float(sum(counts.values())))) * F.sqrt("size")), F.col("o2") / pairs) + F.when(F.contains("t", F.lit(q)), 0.25).otherwise(0.0)
+    rows = memories(spark, d).select("memory_id", F.contains(text, F.lit(q)).alias("whole"), F.concat(values.grams(text, 1), values.grams(text, 2)).alias("grams"))
+    # Only what the question has too goes on, without the text.
+    met = rows.select("memory_id", "whole", F.size("grams").alias("size"), F.explode(F.filter("grams", lambda g: F.array_contains(known, g))).alias("g"))
+    asked = spark.createDataFrame(list(counts.items()), "g string, asked long")
+    both = met.groupBy("memory_id", "whole", "size", "g").agg(F.count("*").alias("n")).join(F.broadcast(asked), "g").withColumn("both", F.least("n", "asked"))
+    sums = both.groupBy("memory_id", "whole", "size").agg(F.sum("both").alias("o"), F.sum(F.when(F.length("g") == 2, F.col("both")).otherwise(0)).alias("o2"))
+    score = F.greatest(F.col("o") / (F.sqrt(F.lit(float(total))) * F.sqrt("size")), F.col("o2") / pairs) + F.when(F.col("whole"), 0.25).otherwise(0.0)
     return sums.select("memory_id", F.round(F.least(F.lit(1.0), score), 6).alias("score"))
 
 
