@@ -28,18 +28,17 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FOLD = "replace(lower({}), 'ß', 'ss')"
-_WORDS = lambda c: f"list_transform(regexp_extract_all({_FOLD.format(c)}, '[0-9\\p{{L}}\\p{{M}}\\p{{N}}--\\p{{Han}}]+'), lambda w: 'w:' || w)"
 _TOKENS = (
     "list_concat(list_transform(list_filter(regexp_extract_all(regexp_replace({f}, '[一-鿿㐀-䶿]+', ' ', 'g'), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: 'w:' || w), "
     "flatten(list_transform(regexp_extract_all({f}, '[一-鿿㐀-䶿]+'), lambda r: list_concat(list_transform(range(1, length(r) + 1), lambda i: 'h:' || substr(r, i, 1)), list_transform(range(1, length(r)), lambda i: 'h:' || substr(r, i, 2))))))"
 )
 _TOK = lambda c: _TOKENS.format(f=_FOLD.format(c))
 
-_BM25 = f"""docs as (select {_LANG} scope, doc_id doc, {_TOK("coalesce(text,'')")} t from documents),
+_BM25 = f"""docs as materialized (select {_LANG} scope, doc_id doc, {_TOK("coalesce(text,'')")} t from documents),
 len as (select scope, doc, len(t) l from docs), st as (select scope, count(*) n, avg(l) a from len group by scope),
 q as (select item_id query, lower(lang) scope, unnest(list_distinct({_TOK('text')})) term from eval_items),
 terms as (select distinct scope, term from q),
-po as (select scope, term, doc, count(*) tf from (select scope, doc, unnest(t) term from docs) semi join terms using (scope, term) group by scope, term, doc),
+po as materialized (select scope, term, doc, count(*) tf from (select scope, doc, unnest(t) term from docs) semi join terms using (scope, term) group by scope, term, doc),
 df as (select scope, term, count(*) df from po group by scope, term),
 sc as (select q.query, q.scope, po.doc, sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * po.tf * 2.2 / (po.tf + 1.2 * (0.25 + 0.75 * len.l / st.a))) score
  from q join po using (scope, term) join df using (scope, term) join st using (scope) join len on len.scope = po.scope and len.doc = po.doc group by q.query, q.scope, po.doc),
