@@ -31,14 +31,20 @@ def stage(df: DataFrame) -> DataFrame:
     schema is given to the reader: no inference job, and no surprise on an empty table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}"
+    path = scratch(spark, "stage")
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, emptied when the program ends."""
+    path = f"{shared_dir(spark)}/memloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps; else they stay until the driver happens to collect garbage."""
     gc.collect()
@@ -63,8 +69,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _clear() -> None:
     import shutil
 
+    # The session may be gone by now; a folder on this machine can still be emptied, one elsewhere is the cluster's to clean.
     for _, path in _WRITTEN:
-        if path.startswith("file://"):
-            shutil.rmtree(path[7:], ignore_errors=True)
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
     for path in _OWN.values():
-        shutil.rmtree(path[7:], ignore_errors=True)
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
