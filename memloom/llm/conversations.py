@@ -53,8 +53,9 @@ def fold_turns(messages: DataFrame, with_text: bool = True, deletions: Sequence[
     """One turn for each message: scope_id, turn, name, thread, reply, root, role, at, shows (and text).
 
     ``turn`` is the kept row's delivery_id; ``name`` what replies call it: its message id, or its event id if no copy has
-    a message id (null if it has neither). Versions follow each other by (``at``, ``received_at``, ``delivery_id``); time and
-    text are those of the last version that shows text, and a message whose last version is a deletion shows nothing.
+    a message id (null if it has neither). Versions follow each other by (``at``, ``received_at``, ``delivery_id``). The
+    text is that of the last version that shows any, the time that of the first version, so that an edited turn keeps its
+    place; a message whose last version is a deletion shows nothing.
     Ids and roles do not change between versions; should copies disagree, the greatest counts. A turn with several
     message ids has one row for each, alike but for ``name`` and ``main``, which is true in one of them.
     """
@@ -74,9 +75,10 @@ def fold_turns(messages: DataFrame, with_text: bool = True, deletions: Sequence[
         clean_id("thread_root_id").alias("root"),
         F.when(clean_id("actor").isNotNull(), role("actor")).alias("role"),
         said.alias("said"),
+        F.col("at").alias("said_at"),
     )
-    folded = ["last", "thread", "reply", "root", "role", "said"]
-    greatest = [F.max(c).alias(c) for c in folded]
+    folded = ["last", "thread", "reply", "root", "role", "said", "said_at"]
+    greatest = [(F.min(c) if c == "said_at" else F.max(c)).alias(c) for c in folded]
     light, links = linked_pairs(messages, "scope_key", ["message_id", "event_id"], "received_at", "delivery_id")
     # The aggregation and the join share one shuffle; links are few and only mark the combinations that need a second fold.
     by_pair = rows.where("id0 != '' or id1 != ''").groupBy("scope_id", "id0", "id1").agg(F.min("o").alias("o"), *greatest)
@@ -97,7 +99,7 @@ def fold_turns(messages: DataFrame, with_text: bool = True, deletions: Sequence[
         "turn",
         "name",
         "main",
-        F.col("last.v.at").alias("at"),
+        F.col("said_at").alias("at"),
         "thread",
         "reply",
         "root",

@@ -90,7 +90,8 @@ def index(documents: DataFrame, vocabulary: dict[tuple[str, str], int], least: i
                     keys.append(k)
                     terms.append([p for p, _ in at])
                     places.append([i for _, i in at])
-            yield pd.DataFrame({key: keys, "terms": terms, "positions": places})
+            if keys:
+                yield pd.DataFrame({key: keys, "terms": terms, "positions": places})
 
     kind = dict(documents.dtypes)[key]
     return documents.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, terms array<int>, positions array<int>")

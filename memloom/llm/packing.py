@@ -27,13 +27,13 @@ def place(sizes: np.ndarray, capacity: int) -> np.ndarray:
     out, made = np.empty(len(sizes), np.int64), 0
     used, where, n_used = np.empty(capacity + 1, np.int32), np.full(capacity + 1, -1, np.int32), 0  # levels in use, in no order
     for i, s in enumerate(sizes.tolist()):
-        # Change of the sum of squares, halved and without what is the same for all: leaving h takes N(h), reaching h + s adds N(h + s) + 1.
+        # Change of the sum of squares: leaving h adds 1 - 2 N(h), reaching h + s adds 2 N(h + s) + 1; full ones don't count.
         at = used[:n_used]
         fits = at[at <= capacity - s]
-        best, h = (int(count[s]) + 1 if s < capacity else 0), 0
+        best, h = (2 * int(count[s]) + 1 if s < capacity else 0), 0
         if fits.size:
             to = fits + s
-            change = np.where(to < capacity, count[to] + 1, 0) - count[fits]
+            change = np.where(to < capacity, 2 * count[to] + 1, 0) + 1 - 2 * count[fits]
             least = int(change.min())
             if least <= best:
                 same = fits[change == least]
