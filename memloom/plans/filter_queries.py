@@ -251,14 +251,14 @@ _SCOPE_JSON = (
 
 
 @R.query(f"select memory_id, 'dpl_' || sha256({_SCOPE_JSON}) as computed, scope_key = 'dpl_' || sha256({_SCOPE_JSON}) as agrees from memories")
-def p01_scope_key(spark: SparkSession, d: str) -> DataFrame:
+def prj01_scope_key(spark: SparkSession, d: str) -> DataFrame:
     scope = {"agent": F.col("scope_agent"), "chat_id": F.col("scope_chat_id"), "chat_type": F.col("scope_chat_type"), "platform": F.col("scope_platform"), "user": F.col("scope_user")}
     computed = values.scope_key(scope, F.col("scope_extra"))
     return memories(spark, d).select("memory_id", computed.alias("computed"), (computed == F.col("scope_key")).alias("agrees"))
 
 
 @R.query("""select distinct scope_user, scope_agent, level from (select scope_user, scope_agent, unnest(list_distinct(['user', case when scope_chat_type = '' then 'user' else 'contact' end, case when scope_chat_id = '' then 'contact' else 'conversation' end])) as level from memories)""")
-def p03_scope_expansion(spark: SparkSession, d: str) -> DataFrame:
+def prj03_scope_expansion(spark: SparkSession, d: str) -> DataFrame:
     levels = F.array_distinct(F.array(F.lit("user"), F.when(F.col("scope_chat_type") == "", "user").otherwise("contact"), F.when(F.col("scope_chat_id") == "", "contact").otherwise("conversation")))
     return memories(spark, d).select("scope_user", "scope_agent", F.explode(levels).alias("level")).distinct()
 
@@ -266,7 +266,7 @@ def p03_scope_expansion(spark: SparkSession, d: str) -> DataFrame:
 @R.query(f"""with r as (select delivery_id, {sql_label('actor')} a from messages),
 n as (select delivery_id, case a when 'human_self' then 'owner' when 'peer' then 'contact' when 'internal' then 'system' when '' then 'system' else a end role from r)
 select delivery_id, role, case role when 'owner' then 'human_self' when 'contact' then 'peer_statement' when 'agent' then 'agent_output' else 'derived_summary' end as authority from n""")
-def p04_p05_role_authority(spark: SparkSession, d: str) -> DataFrame:
+def prj04_prj05_role_authority(spark: SparkSession, d: str) -> DataFrame:
     who = values.role("actor")
     return messages(spark, d).select("delivery_id", who.alias("role"), values.authority(who).alias("authority"))
 
@@ -274,14 +274,14 @@ def p04_p05_role_authority(spark: SparkSession, d: str) -> DataFrame:
 @R.query(f"""select claim_id, left(case when {sql_label('memory_type')} = '' then 'event' else {sql_label('memory_type')} end, 64) as kind,
  case {sql_label('temporal_status')} when 'present' then 'current' when 'future' then 'planned' when 'past' then 'historical' when 'history' then 'historical' when '' then 'unknown' else {sql_label('temporal_status')} end as temporal_status,
  case {sql_label('revision_kind')} when '' then 'assertion' when 'assertion' then 'assertion' when 'correction' then 'correction' when 'retraction' then 'retraction' end as revision_kind from claims""")
-def p06_normalized_labels(spark: SparkSession, d: str) -> DataFrame:
+def prj06_normalized_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "claims").select("claim_id", values.kind("memory_type").alias("kind"), values.temporal_status("temporal_status").alias("temporal_status"), values.revision_kind("revision_kind").alias("revision_kind"))
 
 
 @R.query(r"""with p as (select delivery_id, i, parts[i].text t from messages, unnest(range(1, len(parts) + 1)) as u(i) where parts is not null),
 f as (select delivery_id, t, min(i) i from p where coalesce(t,'') <> '' group by delivery_id, t)
 select m.delivery_id, case when {TRIM} <> '' then {TRIM} else coalesce((select string_agg(t, chr(10) order by i) from f where f.delivery_id = m.delivery_id), '') end as body from messages m""".replace("{TRIM}", sql_trim("coalesce(m.text, '')")))
-def p07_text_of_parts(spark: SparkSession, d: str) -> DataFrame:
+def prj07_text_of_parts(spark: SparkSession, d: str) -> DataFrame:
     own = trimmed(F.coalesce("text", F.lit("")))
     texts = F.filter(F.transform(F.coalesce("parts", F.array()), lambda p: p.text), lambda t: F.coalesce(t, F.lit("")) != "")
     return messages(spark, d).select("delivery_id", F.when(own != "", own).otherwise(F.array_join(F.array_distinct(texts), "\n")).alias("body"))
@@ -293,7 +293,7 @@ select delivery_id, '[actor=' || role || ' authority=' || case role when 'owner'
  || ' at_us=' || epoch_us("at") || case when message_type <> 'message' then ' type=' || message_type else '' end
  || coalesce(' reply=' || {sql_id('reply_to_id')}, '') || coalesce(' thread=' || {sql_id('thread_id')}, '') || '] ' || coalesce(text, '')
  || case when len(attachments) > 0 then ' [attachments=' || len(attachments) || ']' else '' end as line from n""")
-def p08_episode_line(spark: SparkSession, d: str) -> DataFrame:
+def prj08_episode_line(spark: SparkSession, d: str) -> DataFrame:
     who = values.role("actor")
     optional = lambda name, c: F.coalesce(F.concat(F.lit(f" {name}="), c), F.lit(""))
     line = F.concat(
@@ -306,24 +306,24 @@ def p08_episode_line(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(f"""select memory_id, {sql_label('topic_key')} as topic, json_extract_string(metadata, '$.analyzer_version') as analyzer_version from memories""")
-def p10_metadata_values(spark: SparkSession, d: str) -> DataFrame:
+def prj10_metadata_values(spark: SparkSession, d: str) -> DataFrame:
     return memories(spark, d).select("memory_id", values.label("topic_key").alias("topic"), F.get_json_object("metadata", "$.analyzer_version").alias("analyzer_version"))
 
 
 @R.query(f"""select memory_id, case when valid_from is not null or valid_to is not null then 'validity_match' when case {sql_label('temporal_status')} when 'timeless' then true else false end then 'timeless' else 'uncertain' end as match from memories""")
-def p13_as_of_match(spark: SparkSession, d: str) -> DataFrame:
+def prj13_as_of_match(spark: SparkSession, d: str) -> DataFrame:
     return memories(spark, d).select("memory_id", times.as_of_match(F.col("valid_from"), F.col("valid_to"), F.col("temporal_status")).alias("match"))
 
 
 @R.query("""select memory_id, epoch_us(coalesce(event_time."start", valid_from, created_at)) as effective_us,
  list_filter([case when event_time is not null then 'event_time' end, case when valid_from is not null or valid_to is not null then 'dated' end, case when coalesce(topic_key,'') <> '' then 'topic_key' end], lambda x: x is not null) as reasons from memories""")
-def p14_effective_time(spark: SparkSession, d: str) -> DataFrame:
+def prj14_effective_time(spark: SparkSession, d: str) -> DataFrame:
     reasons = F.array_compact(F.array(F.when(F.col("event_time").isNotNull(), "event_time"), F.when(F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull(), "dated"), F.when(F.coalesce("topic_key", F.lit("")) != "", "topic_key")))
     return memories(spark, d).select("memory_id", micros(times.effective_time(F.col("event_time.start"), F.col("valid_from"), F.col("created_at"))).alias("effective_us"), reasons.alias("reasons"))
 
 
 @R.query("""select memory_id, '{"memory_id":' || to_json(memory_id) || ',"actor":' || to_json(actor) || ',"importance":' || cast(cast(round(importance * 1000) as bigint) as varchar) || '}' as item from memories""")
-def p15_attributed_json(spark: SparkSession, d: str) -> DataFrame:
+def prj15_attributed_json(spark: SparkSession, d: str) -> DataFrame:
     item = F.to_json(F.struct("memory_id", "actor", F.round(F.col("importance") * 1000).cast("long").alias("importance")))
     return memories(spark, d).select("memory_id", item.alias("item"))
 
@@ -333,7 +333,7 @@ _BUCKET = "case kind when 'event' then 'events' when 'background' then 'backgrou
 
 @R.query(f"""with b as (select scope_key, {_BUCKET} bucket, memory_id, row_number() over (partition by scope_key, {_BUCKET} order by created_at desc, memory_id) n from memories where {_BUCKET} is not null and state in ('candidate','confirmed'))
 select scope_key, bucket, list(memory_id order by n) as memory_ids from b where n <= case bucket when 'events' then 8 when 'style' then 3 else 5 end group by scope_key, bucket""")
-def p16_materials(spark: SparkSession, d: str) -> DataFrame:
+def prj16_materials(spark: SparkSession, d: str) -> DataFrame:
     """Newest records of each kind by scope, as many as a prompt takes; the caps are the feature."""
     bucket = F.when(F.col("kind") == "event", "events").when(F.col("kind") == "background", "background").when(F.col("kind") == "relation", "relations").when(F.col("kind") == "style", "style")
     newest = Window.partitionBy("scope_key", "bucket").orderBy(F.desc("created_at"), "memory_id")
@@ -343,19 +343,19 @@ def p16_materials(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("select memory_id, sha256(concat_ws('|', memory_id, kind, coalesce(content,'-'), state, cast(version as varchar))) as fingerprint from memories")
-def p17_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+def prj17_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return memories(spark, d).select("memory_id", F.sha2(F.concat_ws("|", "memory_id", "kind", F.coalesce("content", F.lit("-")), "state", F.col("version").cast("string")), 256).alias("fingerprint"))
 
 
 @R.query("""select delivery_id, sha256('["' || scope_key || '",' || cast(epoch_us("at") as varchar) || ',"' || coalesce(actor,'') || '"]') as write_key from messages""")
-def p18_write_key(spark: SparkSession, d: str) -> DataFrame:
+def prj18_write_key(spark: SparkSession, d: str) -> DataFrame:
     payload = F.concat(F.lit('["'), "scope_key", F.lit('",'), micros("at").cast("string"), F.lit(',"'), F.coalesce("actor", F.lit("")), F.lit('"]'))
     return messages(spark, d).select("delivery_id", F.sha2(payload, 256).alias("write_key"))
 
 
 @R.query(f"""select claim_id, case {sql_label('temporal_status')} when 'planned' then ['planned'] when 'future' then ['planned'] when 'historical' then ['historical','timeless'] when 'past' then ['historical','timeless'] when 'history' then ['historical','timeless']
  when 'current' then ['current','timeless'] when 'present' then ['current','timeless'] else [] end as statuses from claims""")
-def p20_default_statuses(spark: SparkSession, d: str) -> DataFrame:
+def prj20_default_statuses(spark: SparkSession, d: str) -> DataFrame:
     status = values.temporal_status("temporal_status")
     array = lambda *v: F.array(*[F.lit(x) for x in v])
     out = F.when(status == "planned", array("planned")).when(status == "historical", array("historical", "timeless")).when(status == "current", array("current", "timeless")).otherwise(F.array().cast("array<string>"))
