@@ -38,8 +38,9 @@ _SIGNS = re.compile("```|[" + re.escape("".join([*_OPEN, *_OPEN.values()])) + "\
 _SENTENCE = re.compile(r"[^.。!?！？\n]+(?=[.!?！？]+[\"'”’)]?\s+\S|。\s*\S|\n\s*\S)")
 _WIDE = re.compile(r"[㐀-鿿]")
 
-#: An ending is a source's own if it has this part of its texts without terminator (parameter of ``inspect``).
-OWN_ENDING = 0.02
+#: An ending is a source's own if this part of all its texts has it and was not cut at a field limit. Of its texts without
+#: terminator alone would not do: where all of those are cut, common words end some of them.
+OWN_ENDING = 0.012
 #: A length is a field limit if it has this part of a source's texts without terminator, and as many texts.
 LIMIT_SHARE, LIMIT_TEXTS = 0.02, 8
 
@@ -137,27 +138,31 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     # What a source's texts without terminator share; copies of a text count once.
     once = loose.groupBy("source", "same").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"), F.first(F.col("keys")[0]).alias("last"))
     total = once.groupBy("source").agg(F.count("*").alias("loose"))
-    own = once.groupBy("source", "last").agg(F.count("*").alias("own"))
-    lengths = once.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x"))
-    piled = lengths.groupBy("source", "x.unit", "x.size").agg(F.count("*").alias("m")).join(total, "source").where((F.col("m") >= LIMIT_TEXTS) & (F.col("m") >= LIMIT_SHARE * F.col("loose")))
+    whole = texts.select("source", "same").distinct().groupBy("source").agg(F.count("*").alias("every"))
+    lengths = once.select("source", "last", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x"))
+    # A cut leaves many endings at one length; texts from one template have one.
+    by_last = lengths.groupBy("source", "x.unit", "x.size", "last").agg(F.count("*").alias("m"))
+    piled = by_last.groupBy("source", "unit", "size").agg(F.sum("m").alias("m"), F.max("m").alias("most")).where("most <= 0.5 * m").join(total, "source").where((F.col("m") >= LIMIT_TEXTS) & (F.col("m") >= LIMIT_SHARE * F.col("loose")))
     # At most 1 / LIMIT_SHARE lengths a source and unit.
     limits = piled.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("size"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("byte_limits"))
 
+    near = lambda limits, size: F.coalesce(F.exists(limits, lambda x: (F.col(size) <= x) & (F.col(size) >= x - 3)), F.lit(False))
+    at_limit = near(F.col("char_limits"), "chars") | near(F.col("byte_limits"), "bytes")
+    own = once.join(limits, "source", "left").where(~at_limit).groupBy("source", "last").agg(F.count("*").alias("own"))
+
     asked = loose.select(key, F.posexplode("keys").alias("slot", "k")).where("k != ''").select(key, "slot", F.concat((F.col("slot") + 1).cast("string"), "k").alias("ending"))
     counted = asked.join(ends, "ending", "left").groupBy(key).agg(*[F.max(F.when(F.col("slot") == i, F.col("n"))).alias(f"n{i + 1}") for i in range(4)])
     n = {i: F.coalesce(f"n{i}", F.lit(0)) for i in range(1, 5)}
     wide = F.coalesce(F.col("keys")[0].rlike("[㐀-鿿]$"), F.lit(False))
     ended = (n[3] > 0) | ((n[4] >= 3) & (n[1] >= 3)) | (wide & (n[2] >= 10))
-    near = lambda limits, size: F.coalesce(F.exists(limits, lambda x: (F.col(size) <= x) & (F.col(size) >= x - 3)), F.lit(False))
     joined = (
         loose.join(counted, key, "left")
-        .join(total, "source")
+        .join(whole, "source")
         .join(own.withColumnRenamed("last", "_last"), (loose["source"] == own["source"]) & (F.col("keys")[0] == F.col("_last")), "left")
         .drop(own["source"])
         .join(limits, "source", "left")
     )
-    own_share = F.coalesce(F.col("own"), F.lit(0)) / F.col("loose")
-    at_limit = near(F.col("char_limits"), "chars") | near(F.col("byte_limits"), "bytes")
+    own_share = F.coalesce(F.col("own"), F.lit(0)) / F.col("every")
     own_ending = (own_share >= OWN_ENDING) & (F.col("own") >= LIMIT_TEXTS)
     by_ending = F.col("broken") | (at_limit & ~own_ending) | ~(own_ending | ended)
     return joined.select(
