@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.staging import stage
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays; null unless both are finite, alike in length and not zero."""
@@ -50,6 +52,29 @@ def search(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k
     return near.where(F.col("query") != F.col(key)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def search_all(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", block: int = 8192) -> DataFrame:
+    """``search`` for a query set of any size: ``block`` queries at a time are held by the driver and the executors.
+
+    The hits of each full block are staged before the next one is read, so memory stays that of one block.
+    """
+    parts: list[DataFrame] = []
+    chunk: list[tuple[int, Sequence[float]]] = []
+    for r in queries.where(F.col(embedding).isNotNull()).select(key, embedding).toLocalIterator():
+        chunk.append((r[0], r[1]))
+        if len(chunk) == block:
+            parts.append(stage(search(vectors, chunk, k, key, embedding)))
+            chunk = []
+    if chunk:
+        parts.append(search(vectors, chunk, k, key, embedding))
+    if not parts:
+        empty = vectors.select(F.lit(0).cast("long").alias("query"), key, F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
+        return empty.limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def reciprocal_rank_fusion(lists: Sequence[tuple[DataFrame, float]], keys: Sequence[str], k: int = 60, ident: str = "ident") -> DataFrame:
     """Fused ranking of ranked lists with columns ``keys``, ``ident`` and rank: score, best_rank, similarity, sources, position.
 

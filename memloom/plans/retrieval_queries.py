@@ -10,7 +10,7 @@ from memloom.functions.keys import clean_id, micros
 from memloom.operators import graph, lexical, vectors
 from memloom.plans.filter_queries import memories, messages
 from memloom.plans.registry import Registry, sql_id, sql_label
-from memloom.sources.tables import small_table, table
+from memloom.sources.tables import table
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -104,8 +104,7 @@ select query, vec_id, round(similarity, 6) as similarity, rank from (select *, r
 def j17_knn(spark: SparkSession, d: str) -> DataFrame:
     """Nearest vectors of every vector whose id is divisible by 50, against all."""
     v = table(spark, d, "embeddings")
-    asked = [(r.vec_id, r.embedding) for r in v.where("vec_id % 50 = 0").select("vec_id", "embedding").toLocalIterator()]
-    return vectors.search(v, asked, 10).withColumn("similarity", F.round("similarity", 6))
+    return vectors.search_all(v, v.where("vec_id % 50 = 0"), 10).withColumn("similarity", F.round("similarity", 6))
 
 
 @R.query("select vec_id, round(list_cosine_similarity(embedding::double[], list_transform(range(64), lambda i: 1.0::double)), 6) as similarity from embeddings")

@@ -111,6 +111,9 @@ def test_rank_fusion_and_mmr(spark):
 
 def test_vector_search_skips_null_and_zero(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    blocks = vectors.search_all(rows, rows.where("vec_id < 4"), 2, block=1).orderBy("query", "rank").collect()
+    assert [(r.query, r.vec_id) for r in blocks] == [(1, 2), (1, 5), (2, 1), (2, 5)]
+    assert vectors.search_all(rows, rows.limit(0), 2).count() == 0
     got = vectors.search(rows, [(1, [1.0, 0.0])], 2).orderBy("rank").collect()
     assert [(r.vec_id, r.rank) for r in got] == [(2, 1), (5, 2)]
 
