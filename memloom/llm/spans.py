@@ -58,7 +58,8 @@ def split_oversized(df: DataFrame, text: str, configs: list[tuple[int, int, int]
     """The pieces of every text that exceeds a configuration's limit.
 
     ``configs``: (config_id, max_chars, overlap_chars). Columns: config_id, ``keys``, pieces. One pass over the
-    table serves all configurations; each pattern is a constant, compiled once a task.
+    table serves all configurations; each pattern is a constant, compiled once a task. Null, empty and short texts have no
+    rows; repeated rows each have theirs; columns that are not in ``keys`` are left out.
     """
     each = [F.struct(F.lit(c).alias("config_id"), pieces(F.col(text), m, o).alias("pieces")) for c, m, o in configs]
     found = df.select(*keys, F.explode(F.filter(F.array(*each), lambda x: x.pieces.isNotNull())).alias("_x"))
