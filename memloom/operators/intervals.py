@@ -31,7 +31,7 @@ def _ceil_shift(c: Column, k: Column) -> Column:
 
 
 def blocks(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """Distinct canonical dyadic blocks (b0, b1) of all intervals [start, end) in 0 .. 2^DOMAIN_BITS.
+    """Canonical dyadic blocks (b0, b1) of all intervals [start, end) in 0 .. 2^DOMAIN_BITS.
 
     At level k the interval has a block at its left end if ceil(start / 2^k) is odd, and one at its right end if
     floor(end / 2^k) is odd, as long as the one is less than the other.
@@ -47,14 +47,14 @@ def blocks(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFram
     levels = F.sequence(F.lit(0), F.lit(DOMAIN_BITS))
     # Of intervals with the same start only the longest matters; combined before the shuffle.
     longest = df.groupBy(*keys, start).agg(F.max(end).alias(end))
-    cut = longest.select(*keys, F.explode(F.flatten(F.transform(levels, at))).alias("b")).where("b is not null")
-    return cut.select(*keys, "b.b0", "b.b1").distinct()
+    return longest.select(*keys, F.explode(F.filter(F.flatten(F.transform(levels, at)), lambda x: x.isNotNull())).alias("b")).select(*keys, "b.b0", "b.b1")
 
 
 def merge(df: DataFrame, keys: Sequence[str], start: str, end: str) -> tuple[DataFrame, DataFrame]:
     """(periods, gaps) of integer intervals [start, end) within 0 .. 2^DOMAIN_BITS, each by ``keys``, ``p0`` and ``p1``.
 
-    A gap lies between two covered points. Empty and null intervals cover nothing. Null keys form a group.
+    A gap lies between two covered points. Empty, reversed and null intervals cover nothing; repeats and ties change
+    nothing; null keys form a group; further columns are ignored; an empty table gives empty ones.
     """
     keys = list(keys)
     valid = df.where((F.col(start) < F.col(end)) & (F.col(start) >= 0) & (F.col(end) <= (1 << DOMAIN_BITS)))
@@ -64,7 +64,7 @@ def merge(df: DataFrame, keys: Sequence[str], start: str, end: str) -> tuple[Dat
     in_cells = found.where(small).withColumn("cell", cell)
     large = found.where(~small)
 
-    # Within cells: blocks covered by an ancestor go; the others are disjoint and in order.
+    # Within cells: blocks covered by an ancestor, or repeated, go; the others are disjoint and in order.
     order = Window.partitionBy(*keys, "cell").orderBy("b0", F.desc("b1"))
     reach = F.max("b1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     top = in_cells.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("b1") > F.col("reach")))
