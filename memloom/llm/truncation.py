@@ -5,21 +5,25 @@ code fences, a broken multibyte sequence, an escape that has begun. A text that
 terminator is complete. One without a terminator is held against what its source and the whole corpus do:
 
 * endings that a source's texts share (sign-offs, closing words, tag lines) are its own terminators;
-* an ending after which sentences and lines within texts do end is a complete one that lacks its full stop: messages
-  of a chat, titles, sentences that trail off;
+* an ending after which sentences and lines end more often than they go on is a complete one that lacks its full stop:
+  messages of a chat, titles, sentences that trail off. It is judged by as many of its last words as were seen before, and
+  by a ratio, so that a growing corpus makes it surer, not laxer;
 * lengths (in characters or in bytes) at which a source's texts without terminator pile up are its field limits, and a
   text of that length stopped there.
 
 All three statistics are counted over all texts, one text once however often it is repeated. Counts are combined within each
-Arrow batch and again before the shuffle, so no key is gathered anywhere.
+Arrow batch and again before the shuffle, so no key is gathered anywhere. Words in running text are counted only where a text
+without terminator asks for them: a bit set of fixed size keeps the rest from the shuffle, and the join drops what it lets pass.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +39,9 @@ _DANGLING = re.compile(r"[,:;，、：；(\[{（【「『“‘«\\/&@#|=+-]$")
 _BROKEN = re.compile("(?:�|[\ud800-\udfff]|\\\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&#?\\w{1,8}|%[0-9A-Fa-f]?)$")
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "“": "”", "«": "»"}
 _SIGNS = re.compile("```|[" + re.escape("".join([*_OPEN, *_OPEN.values()])) + "\"\n]|</?[A-Za-z][^<>\n]{0,80}>|<[A-Za-z/][^<>\n]{0,80}$")
-_SENTENCE = re.compile(r"[^.。!?！？\n]+(?=[.!?！？]+[\"'”’)]?\s+\S|。\s*\S|\n\s*\S)")
+_BREAK = re.compile(r"[.!?！？]+[\"'”’)]?\s+(?=\S)|。\s*(?=\S)|\n\s*(?=\S)")
+_LABEL = re.compile(r"(?:\[[^\]]*\]\s*)?(?:[^\s:]+:\s+)?")
+_AFTER = ".,;:!?\"')]}…”’»，、；："
 _WIDE = re.compile(r"[㐀-鿿]")
 
 #: An ending is a source's own if this part of all its texts has it and was not cut at a field limit. Of its texts without
@@ -43,6 +49,11 @@ _WIDE = re.compile(r"[㐀-鿿]")
 OWN_ENDING = 0.012
 #: A length is a field limit if it has this part of a source's texts without terminator, and as many texts.
 LIMIT_SHARE, LIMIT_TEXTS = 0.02, 8
+#: An ending is known if, of the places where its longest context of these many words (characters in Chinese) was seen at least
+#: SEEN times, this part are ends. Sentences of one opening come first: the same words end an invitation and not a report. Names count as alike where no context was seen; then the name too must end something.
+WORDS, CHARS, SEEN, ENDS, NAME_SEEN, NAME_ENDS = (3, 4, 5, 6), (4, 6, 8, 10, 12), 2, 0.3, 3, 0.1
+#: Bits of the set of endings asked for.
+BITS = 1 << 22
 
 
 def still_open(text: str) -> bool:
@@ -75,54 +86,204 @@ def still_open(text: str) -> bool:
     return fence or bool(stack)
 
 
-def ending_keys(tail: str) -> tuple[str, str, str, str]:
-    """Last one, two and three words (two, four and six characters in Chinese), digits alike; and the three with names alike."""
-    tail = re.sub(r"\W+$", "", tail)
-    if not tail:
-        return "", "", "", ""
-    low = re.sub(r"\d+", "0", tail.lower())
+def _folded(piece: str) -> str:
+    return re.sub(r"\d+", "0", re.sub(r"\W+$", "", piece).lower()).strip()
+
+
+def pieces(text: str) -> list[str]:
+    """The sentences and lines of ``text``; all but the last have ended."""
+    return _BREAK.split(text)
+
+
+def _word_keys(words: list[str], i: int, last: str, asked: Callable[[str], bool]) -> list[str]:
+    """Contexts of a place in running text, shortest first; the longer ones only if the shortest is asked for."""
+    out = []
+    for n in WORDS:
+        k = " ".join([*words[max(0, i + 1 - n) : i], last])
+        if not asked(k):
+            break
+        out.append(k)
+        if n > i:
+            break
+    return out
+
+
+def _char_keys(low: str, i: int, asked: Callable[[str], bool]) -> list[str]:
+    out = []
+    for n in CHARS:
+        k = low[max(0, i + 1 - n) : i + 1]
+        if not asked(k):
+            break
+        out.append(k)
+        if n > i:
+            break
+    return out
+
+
+def _opening(low: str) -> str:
+    """The first word (two characters in Chinese) of a line, after a time in brackets and who speaks."""
+    rest = low[_LABEL.match(low).end() :] or low
+    return "O:" + (rest[:2] if _WIDE.match(rest[0]) else rest.split()[0]) + "|"
+
+
+def _name_key(words: list[str], i: int) -> str:
+    return "N:" + " ".join([*words[i - 2 : i], "Xx"])
+
+
+def ending_keys(base: str) -> list[str]:
+    """What the end of a text is known by: its last word (two characters in Chinese), that after which a name stands, or '',
+    and its contexts: the shortest with the sentence's opening, then from the longest on. A context does not reach over the start '^' of the sentence; digits are alike."""
+    piece = pieces(base[-400:])[-1]
+    low = _folded(piece)
+    if not low:
+        return ["", ""]
     if _WIDE.match(low[-1]):
-        return low[-2:], low[-4:], low[-6:], ""
-    words = low.split()[-3:]
-    last = tail.split()[-1]
-    names = " ".join([*words[:-1], "Xx"]) if last[0].isupper() and len(words) == 3 else ""
-    return words[-1], " ".join(words[-2:]), " ".join(words), names
+        contexts = _char_keys("^" + low, len(low), lambda k: True)
+        return ["W:" + low[-2:], "", _opening(low) + contexts[0], *reversed(contexts)]
+    words = ["^", *low.split()]
+    i = len(words) - 1
+    name = i >= 2 and re.sub(r"\W+$", "", piece).split()[-1][0].isupper()
+    contexts = _word_keys(words, i, words[i], lambda k: True)
+    return ["W:" + words[i], _name_key(words, i) if name else "", _opening(low) + contexts[0], *reversed(contexts)]
+
+
+class Places:
+    """Counts where the sentences of texts end and where they go on, for the endings asked for."""
+
+    def __init__(self, asked: Callable[[str], bool]):
+        self.asked, self.ends, self.inside = asked, Counter(), Counter()
+        self.last_ends, self.last_inside = Counter(), Counter()
+        # Whether a context was asked for; most recur within a batch.
+        self._known: dict[str, bool] = {}
+
+    def _asked(self, k: str) -> bool:
+        v = self._known.get(k)
+        if v is None:
+            v = self._known[k] = self.asked(k)
+        return v
+
+    def add(self, base: str, whole: bool) -> None:
+        """The last sentence of a text that is not ``whole`` says nothing by its end."""
+        known, ends, inside, last_ends, last_inside = self._known, [], [], [], []
+        every = pieces(base)
+        for j, piece in enumerate(every):
+            low = _folded(piece)
+            if not low:
+                continue
+            ended = whole or j < len(every) - 1
+            opening = _opening(low)
+            if not low.isascii() and _WIDE.search(low):
+                chars = "^" + low
+                stop = len(chars) - 1
+                for i in range(1, len(chars) if ended else stop):
+                    if "㐀" <= chars[i] <= "鿿":
+                        k = chars[max(0, i - CHARS[0] + 1) : i + 1]
+                        v = known.get(k)
+                        if v or (v is None and self._asked(k)):
+                            (inside if i < stop else ends).extend(self._more(_char_keys(chars, i, self._asked), opening))
+                if ended and stop > 1:
+                    last_ends.append(chars[-2:])
+                last_inside.extend(chars[i - 1 : i + 1] for i in range(2, stop))
+            words = ["^", *[w.rstrip(_AFTER) for w in low.split()]]
+            raw = ["^", *low.split()]
+            stop = len(words) - 1
+            for i in range(1, len(words) if ended else stop):
+                last = words[i]
+                if not last or "㐀" <= last[-1] <= "鿿":
+                    continue
+                before = f"{raw[i - 2]} {raw[i - 1]}" if i > 1 else "^"
+                k = f"{before} {last}"
+                v = known.get(k)
+                if v or (v is None and self._asked(k)):
+                    (inside if i < stop else ends).extend(self._more(_word_keys(raw, i, last, self._asked), opening))
+                # Any word counts where a name may stand: what matters is whether the sentence goes on after it.
+                if i > 1:
+                    k = f"N:{before} Xx"
+                    v = known.get(k)
+                    if v or (v is None and self._asked(k)):
+                        (inside if i < stop else ends).append(k)
+            last_inside.extend(words[1:-1])
+            if ended:
+                last_ends.append(words[-1])
+        for counter, found in ((self.ends, ends), (self.inside, inside), (self.last_ends, last_ends), (self.last_inside, last_inside)):
+            counter.update(found)
+
+    def _more(self, keys: list[str], opening: str) -> list[str]:
+        if self._asked(k := opening + keys[0]):
+            keys.append(k)
+        return keys
+
+    def rows(self) -> pd.DataFrame:
+        for counter, by_last in ((self.ends, self.last_ends), (self.inside, self.last_inside)):
+            counter.update({k: n for w, n in by_last.items() if self.asked(k := "W:" + w)})
+        keys = list(self.ends.keys() | self.inside.keys())
+        return pd.DataFrame({"ending": keys, "ends": [self.ends[k] for k in keys], "inside": [self.inside[k] for k in keys]})
 
 
 #: Characters by which an announced length may differ from that of a whole text (parameter of ``inspect``).
 LOOSE = 5
 
 
+def _base(text: str) -> str:
+    """``text`` without the mark of a cut and the white space around it."""
+    text = text.rstrip()
+    mark = _MARK.search(text)
+    return text[: mark.start()].rstrip() if mark else text
+
+
+def _whole(base: str, open_end: bool) -> bool:
+    return _TERMINATOR.search(base) is not None and not open_end
+
+
 def _endings(documents: DataFrame, key: str, text: str, source: str, declared: str | None) -> DataFrame:
     kind = dict(documents.dtypes)[key]
-    fields = f"kind string, `{key}` {kind}, source string, same long, chars int, bytes int, lacking long, complete boolean, broken boolean, keys array<string>, ending string, n long"
+    fields = f"`{key}` {kind}, source string, same long, chars int, bytes int, lacking long, complete boolean, broken boolean, keys array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, ends = [], Counter()
-            seen: set[int] = set()
+            rows = []
             for k, t, s, same, lacking in zip(batch[key], batch[text], batch["source"], batch["same"], batch["lacking"].astype("Int64").astype(object).where(batch["lacking"].notna(), None)):
-                t = t.rstrip()
-                mark = _MARK.search(t)
-                base = t[: mark.start()].rstrip() if mark else t
+                base = _base(t)
                 if not base:
                     continue
                 open_end = still_open(base)
-                done = _TERMINATOR.search(base) is not None and not open_end
-                rows.append(("text", k, s, same, len(base), len(base.encode("utf-8", "replace")), lacking, done, not done and (open_end or _DANGLING.search(base) is not None), None if done else list(ending_keys(base[-120:])), None, None))
-                if same not in seen:
-                    seen.add(same)
-                    for m in _SENTENCE.finditer(base):
-                        one, two, three, names = ending_keys(m[0][-120:])
-                        ends.update(("1" + one, "2" + two, "3" + three, *(("4" + names,) if names else ())))
-            rows += [("end", None, None, None, None, None, None, None, None, None, e, n) for e, n in ends.items()]
-            yield pd.DataFrame(rows, columns=["kind", key, "source", "same", "chars", "bytes", "lacking", "complete", "broken", "keys", "ending", "n"])
+                done = _whole(base, open_end)
+                rows.append((k, s, same, len(base), len(base.encode("utf-8", "replace")), lacking, done, not done and (open_end or _DANGLING.search(base) is not None), None if done else ending_keys(base)))
+            yield pd.DataFrame(rows, columns=[key, "source", "same", "chars", "bytes", "lacking", "complete", "broken", "keys"])
 
     lacking = (F.col(declared) - F.length(text)).cast("long") if declared else F.lit(None).cast("long")
     chosen = documents.where(F.col(text).isNotNull()).select(key, text, F.coalesce(F.col(source), F.lit("")).alias("source"), F.xxhash64(text).alias("same"), lacking.alias("lacking"))
     return chosen.mapInPandas(run, fields)
 
 
+def _asked_bits(asked: DataFrame) -> bytes:
+    """The set of the ``ending``s asked for, as BITS bits by their CRC: it may let others pass, it holds back none."""
+    bit = F.crc32(F.encode("ending", "UTF-8")) % BITS
+    words = asked.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    out = np.zeros(BITS // 64, dtype="<i8")
+    for r in words.collect():
+        out[r.word] = r.bits
+    return out.tobytes()
+
+
+def _places(documents: DataFrame, key: str, text: str, once: DataFrame, bits: bytes) -> DataFrame:
+    """How often each ending asked for stands at the end of a sentence and within one, over the texts of ``once``."""
+
+    def asked(k: str) -> bool:
+        h = zlib.crc32(k.encode("utf-8", "replace")) % BITS
+        return bits[h >> 3] >> (h & 7) & 1 == 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            places = Places(asked)
+            for t, whole in zip(batch[text], batch["complete"]):
+                places.add(_base(t), whole)
+            yield places.rows()
+
+    counted = documents.select(key, text).join(once, key).select(F.col(text), "complete").mapInPandas(run, "ending string, ends long, inside long")
+    return counted.groupBy("ending").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
+
+
 def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", declared: str | None = None) -> DataFrame:
     """One row for each text that isn't complete at sight: ``key``, source, truncated, and what speaks for it.
 
@@ -130,9 +291,7 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     A null source is a source of its own. ``declared`` may name a column with the length the sender announced: it settles
     texts without terminator, being more than LOOSE characters short or not. Where it is null, the statistics decide.
     """
-    read = stage(_endings(documents, key, text, source, declared))
-    ends = read.where("kind = 'end'").groupBy("ending").agg(F.sum("n").alias("n"))
-    texts = read.where("kind = 'text'")
+    texts = stage(_endings(documents, key, text, source, declared))
     loose = texts.where("not complete").select(key, "source", "same", "chars", "bytes", "lacking", "broken", "keys")
 
     # What a source's texts without terminator share; copies of a text count once.
@@ -150,11 +309,18 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     at_limit = near(F.col("char_limits"), "chars") | near(F.col("byte_limits"), "bytes")
     own = once.join(limits, "source", "left").where(~at_limit).groupBy("source", "last").agg(F.count("*").alias("own"))
 
-    asked = loose.select(key, F.posexplode("keys").alias("slot", "k")).where("k != ''").select(key, "slot", F.concat((F.col("slot") + 1).cast("string"), "k").alias("ending"))
-    counted = asked.join(ends, "ending", "left").groupBy(key).agg(*[F.max(F.when(F.col("slot") == i, F.col("n"))).alias(f"n{i + 1}") for i in range(4)])
-    n = {i: F.coalesce(f"n{i}", F.lit(0)) for i in range(1, 5)}
-    wide = F.coalesce(F.col("keys")[0].rlike("[㐀-鿿]$"), F.lit(False))
-    ended = (n[3] > 0) | ((n[4] >= 3) & (n[1] >= 3)) | (wide & (n[2] >= 10))
+    asked = loose.select(key, F.posexplode("keys").alias("slot", "ending")).where("ending != ''")
+    places = _places(documents, key, text, texts.groupBy("same").agg(F.min(F.struct(key, "complete")).alias("x")).select("x.*"), _asked_bits(asked))
+    # Slots: the last word, the name, the contexts.
+    ratio = F.col("ends") / (F.col("ends") + F.col("inside"))
+    known = asked.join(places.withColumn("seen", F.col("ends") + F.col("inside")).withColumn("ratio", ratio), "ending")
+    counted = known.groupBy(key).agg(
+        F.max(F.when(F.col("slot") == 0, F.col("ratio"))).alias("last_ratio"),
+        F.max(F.when((F.col("slot") == 1) & (F.col("seen") >= NAME_SEEN), F.col("ratio"))).alias("name_ratio"),
+        F.min_by("ratio", F.when((F.col("slot") > 1) & (F.col("seen") >= SEEN), F.col("slot"))).alias("context_ratio"),
+    )
+    by_name = (F.col("name_ratio") >= ENDS) & (F.col("last_ratio") >= NAME_ENDS)
+    ended = F.coalesce(F.col("context_ratio") >= ENDS, by_name, F.lit(False))
     joined = (
         loose.join(counted, key, "left")
         .join(whole, "source")

@@ -41,3 +41,14 @@ def test_field_limit_and_announced_length(spark):
 
 def test_empty(spark):
     assert t.inspect(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_an_ending_is_known_by_how_often_sentences_go_on_after_it(spark):
+    rows, cut = texts()
+    names = [f"{a}{b}" for a in ("ar", "bel", "cor", "dun", "el") for b in ("ton", "wick", "ford", "mere", "ley")]
+    rows += [(3000 + i, f"Please keep the blue suitcase near the door of {n}. Nobody in {n} objected.", "notes") for i, n in enumerate(names)]
+    # A few sentences do end so, in texts of which one is repeated over and over.
+    rows += [(3100 + i, f"In {names[i % 3]} we found and keep the blue suitcase. It was late.", "notes") for i in range(90)]
+    rows += [(3300, "Nobody objected. Please keep the blue suitcase", "notes"), (3301, "It was late. In corton we found and keep the blue suitcase", "notes")]
+    found = {r.doc_id for r in t.inspect(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("truncated").collect()}
+    assert found == cut | {3300}
