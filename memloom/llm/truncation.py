@@ -4,7 +4,8 @@ Method: structural completeness. A stack automaton reads each text for what is s
 code fences, a broken multibyte sequence, an escape that has begun. A text that closes everything and ends with a
 terminator is complete. One without a terminator is held against what its source and the whole corpus do:
 
-* endings that a source's texts share (sign-offs, closing words, tag lines) are its own terminators;
+* endings that a source's texts share (sign-offs, closing words, tag lines), and share far more often than they hold the same
+  word elsewhere, are its own terminators;
 * an ending after which sentences and lines end more often than they go on is a complete one that lacks its full stop:
   messages of a chat, titles, sentences that trail off. It is judged by as many of its last words as were seen before, and
   by a ratio, so that a growing corpus makes it surer, not laxer;
@@ -47,6 +48,9 @@ _WIDE = re.compile(r"[㐀-鿿]")
 #: An ending is a source's own if this part of all its texts has it and was not cut at a field limit. Of its texts without
 #: terminator alone would not do: where all of those are cut, common words end some of them.
 OWN_ENDING = 0.012
+#: And that part is so many times the word's part of the places within the source's texts: cuts anywhere fall on common words as
+#: often as these stand there.
+OWN_TIMES = 3.0
 #: A length is a field limit if it has this part of a source's texts without terminator, and as many texts.
 LIMIT_SHARE, LIMIT_TEXTS = 0.02, 8
 #: An ending is known if, of the places where its longest context of these many words (characters in Chinese) was seen at least
@@ -153,6 +157,7 @@ class Places:
     def __init__(self, asked: Callable[[str], bool]):
         self.asked, self.ends, self.inside = asked, Counter(), Counter()
         self.last_ends, self.last_inside = Counter(), Counter()
+        self.by_source: dict[str, Counter] = {}
         # Whether a context was asked for; most recur within a batch.
         self._known: dict[str, bool] = {}
 
@@ -162,8 +167,9 @@ class Places:
             v = self._known[k] = self.asked(k)
         return v
 
-    def add(self, base: str, whole: bool) -> None:
-        """The last sentence of a text that is not ``whole`` says nothing by its end."""
+    def add(self, base: str, whole: bool, source: str = "", first: bool = True) -> None:
+        """The last sentence of a text that is not ``whole`` says nothing by its end. A text that another source has too counts
+        for the corpus where it is the ``first``."""
         known, ends, inside, last_ends, last_inside = self._known, [], [], [], []
         every = pieces(base)
         for j, piece in enumerate(every):
@@ -205,6 +211,9 @@ class Places:
             last_inside.extend(words[1:-1])
             if ended:
                 last_ends.append(words[-1])
+        self.by_source.setdefault(source, Counter()).update(last_inside)
+        if not first:
+            return
         for counter, found in ((self.ends, ends), (self.inside, inside), (self.last_ends, last_ends), (self.last_inside, last_inside)):
             counter.update(found)
 
@@ -217,7 +226,11 @@ class Places:
         for counter, by_last in ((self.ends, self.last_ends), (self.inside, self.last_inside)):
             counter.update({k: n for w, n in by_last.items() if self.asked(k := "W:" + w)})
         keys = list(self.ends.keys() | self.inside.keys())
-        return pd.DataFrame({"ending": keys, "ends": [self.ends[k] for k in keys], "inside": [self.inside[k] for k in keys]})
+        rows = [(None, k, self.ends[k], self.inside[k]) for k in keys]
+        for source, words in self.by_source.items():
+            rows.append((source, "", 0, words.total()))
+            rows += [(source, k, 0, n) for w, n in words.items() if self.asked(k := "W:" + w)]
+        return pd.DataFrame(rows, columns=["source", "ending", "ends", "inside"])
 
 
 #: Characters by which an announced length may differ from that of a whole text (parameter of ``inspect``).
@@ -267,7 +280,8 @@ def _asked_bits(asked: DataFrame) -> bytes:
 
 
 def _places(documents: DataFrame, key: str, text: str, once: DataFrame, bits: bytes) -> DataFrame:
-    """How often each ending asked for stands at the end of a sentence and within one, over the texts of ``once``."""
+    """How often each ending asked for stands at the end of a sentence and within one, over the texts of ``once``; and for
+    each source how often its words do within one, '' being all of them."""
 
     def asked(k: str) -> bool:
         h = zlib.crc32(k.encode("utf-8", "replace")) % BITS
@@ -276,12 +290,12 @@ def _places(documents: DataFrame, key: str, text: str, once: DataFrame, bits: by
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             places = Places(asked)
-            for t, whole in zip(batch[text], batch["complete"]):
-                places.add(_base(t), whole)
+            for t, whole, s, first in zip(batch[text], batch["complete"], batch["source"], batch["first"]):
+                places.add(_base(t), whole, s, first)
             yield places.rows()
 
-    counted = documents.select(key, text).join(once, key).select(F.col(text), "complete").mapInPandas(run, "ending string, ends long, inside long")
-    return counted.groupBy("ending").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
+    counted = documents.select(key, text).join(once, key).select(F.col(text), "complete", "source", "first").mapInPandas(run, "source string, ending string, ends long, inside long")
+    return counted.groupBy("source", "ending").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
 
 
 def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", declared: str | None = None) -> DataFrame:
@@ -310,7 +324,15 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     own = once.join(limits, "source", "left").where(~at_limit).groupBy("source", "last").agg(F.count("*").alias("own"))
 
     asked = loose.select(key, F.posexplode("keys").alias("slot", "ending")).where("ending != ''")
-    places = _places(documents, key, text, texts.groupBy("same").agg(F.min(F.struct(key, "complete")).alias("x")).select("x.*"), _asked_bits(asked))
+    by_source = texts.groupBy("source", "same").agg(F.min(F.struct(key, "complete")).alias("x"))
+    first = by_source.groupBy("same").agg(F.min(f"x.{key}").alias("_first"))
+    counts = stage(_places(documents, key, text, by_source.join(first, "same").select("source", "x.*", (F.col(f"x.{key}") == F.col("_first")).alias("first")), _asked_bits(asked)))
+    places = counts.where("source is null").drop("source")
+    running = counts.where("source is not null")
+    # Of each word that ends a source's texts, its part of the places within them.
+    all_words = running.where("ending = ''").select("source", F.col("inside").alias("all_words"))
+    within = running.where("ending != ''").join(all_words, "source").select("source", F.col("ending").alias("last"), (F.col("inside") / F.col("all_words")).alias("within"))
+    own = own.join(within, ["source", "last"], "left")
     # Slots: the last word, the name, the contexts.
     ratio = F.col("ends") / (F.col("ends") + F.col("inside"))
     known = asked.join(places.withColumn("seen", F.col("ends") + F.col("inside")).withColumn("ratio", ratio), "ending")
@@ -329,7 +351,7 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
         .join(limits, "source", "left")
     )
     own_share = F.coalesce(F.col("own"), F.lit(0)) / F.col("every")
-    own_ending = (own_share >= OWN_ENDING) & (F.col("own") >= LIMIT_TEXTS)
+    own_ending = F.coalesce((own_share >= OWN_ENDING) & (F.col("own") >= LIMIT_TEXTS) & (own_share >= OWN_TIMES * F.coalesce("within", F.lit(0.0))), F.lit(False))
     by_ending = F.col("broken") | (at_limit & ~own_ending) | ~(own_ending | ended)
     return joined.select(
         key,

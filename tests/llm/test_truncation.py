@@ -52,3 +52,15 @@ def test_an_ending_is_known_by_how_often_sentences_go_on_after_it(spark):
     rows += [(3300, "Nobody objected. Please keep the blue suitcase", "notes"), (3301, "It was late. In corton we found and keep the blue suitcase", "notes")]
     found = {r.doc_id for r in t.inspect(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("truncated").collect()}
     assert found == cut | {3300}
+
+
+def test_common_words_are_no_own_ending_of_a_source_that_is_often_cut(spark):
+    rows, cut = texts()
+    names = [f"{a}{b}" for a in ("ar", "bel", "cor", "dun", "el") for b in ("ton", "wick", "ford", "mere", "ley")]
+    full = [f"In {n} the owner of the lamp saw the clerk near the gate of the {m}. They left the {n} road to the {m} again." for n in names for m in names[:4]]
+    rows += [(4000 + i, x, "drift") for i, x in enumerate(full)]
+    short = [f"They saw {n} and left the lamp at {n} to look for the" for n in names]
+    rows += [(4500 + i, x, "drift") for i, x in enumerate(short)]
+    rows += [(4700 + i, f"In {n} they left the lamp. So long yours", "drift") for i, n in enumerate(names)]
+    found = {r.doc_id for r in t.inspect(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("truncated").collect()}
+    assert found == cut | {4500 + i for i in range(len(short))}
