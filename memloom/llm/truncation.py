@@ -303,7 +303,8 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
 
     Texts that are null, or have nothing but white space and marks, were not cut in mid-sentence; they have no row.
     A null source is a source of its own. ``declared`` may name a column with the length the sender announced: it settles
-    texts without terminator, being more than LOOSE characters short or not. Where it is null, the statistics decide.
+    texts without terminator whose end is not broken or open, being more than LOOSE characters short or not. Where it is null, the
+    statistics decide.
     """
     texts = stage(_endings(documents, key, text, source, declared))
     loose = texts.where("not complete").select(key, "source", "same", "chars", "bytes", "lacking", "broken", "keys")
@@ -356,7 +357,7 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     return joined.select(
         key,
         "source",
-        F.coalesce(F.col("lacking") > LOOSE, by_ending).alias("truncated"),
+        (F.col("broken") | F.coalesce(F.col("lacking") > LOOSE, by_ending)).alias("truncated"),
         F.col("broken").alias("left_open"),
         at_limit.alias("at_limit"),
         own_ending.alias("own_ending"),

@@ -64,3 +64,9 @@ def test_common_words_are_no_own_ending_of_a_source_that_is_often_cut(spark):
     rows += [(4700 + i, f"In {n} they left the lamp. So long yours", "drift") for i, n in enumerate(names)]
     found = {r.doc_id for r in t.inspect(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("truncated").collect()}
     assert found == cut | {4500 + i for i in range(len(short))}
+
+
+def test_an_open_or_broken_end_is_cut_whatever_length_was_announced(spark):
+    ends = ["We moved the review (to Tel", "We moved the review to \\u00", "We moved the review to Tellow"]
+    df = spark.createDataFrame([(i, x, "notes", len(x) + 2) for i, x in enumerate(ends)], "doc_id long, text string, source string, declared int")
+    assert {r.doc_id for r in t.inspect(df, declared="declared").where("truncated").collect()} == {0, 1}
