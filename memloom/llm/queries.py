@@ -46,6 +46,10 @@ def p6_redacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "messages").select("delivery_id", pii.redacted(F.col("text")).alias("text"))
 
 
+def p6_redacted_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "memories").select("memory_id", pii.redacted(F.col("content")).alias("content"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), "text", _budgets(spark, sf_dir))
     return packed.where("oversized and from_byte = 0").select("budget_id", "doc_id")
@@ -78,7 +82,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.shares(table(spark, sf_dir, "documents"), declared="declared_chars")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p6_found, p6_redacted_messages, p7_found, p7_utilization, p8_found, p8_leaked_items, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p6_found, p6_redacted_messages, p6_redacted_memories, p7_found, p7_utilization, p8_found, p8_leaked_items, p9_found, p9_shares)}
 
 ORACLE = {
     "p2_found": "select config_id, memory_id from memories, span_configs where length(content) > max_chars",
