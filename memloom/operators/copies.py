@@ -99,17 +99,20 @@ def id_rows(df: DataFrame, scope: str, ids: Sequence[str], time: str, key: str,
 
 def mark_linked(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
     """``nodes`` (scope_id, ``names``, node and more) with ``label``: null for a node that shares no identifier with another
-    one, else the least node among those it shares one with directly. Staged."""
-    met = nodes
+    one, else the least node among those it shares one with directly. Staged.
+
+    Only identifiers and nodes are shuffled to find out who meets; the other columns move once, with the result.
+    """
+    met = None
     for c in names:
-        many = nodes.where(F.col(c) != "").groupBy("scope_id", c).agg(F.count("*").alias("_n"), F.min("node").alias(f"_l_{c}")).where("_n > 1")
-        many = many.select(F.col("scope_id").alias("_s"), F.col(c).alias("_c"), f"_l_{c}")
-        # A blank identifier meets none; its rows are spread by their node instead of sharing one key.
-        at = F.when(F.col(c) != "", F.col(c)).otherwise(F.concat(F.lit("\u0000"), F.col("node").cast("string")))
-        met = met.withColumn("_at", at).join(many.hint("shuffle_hash"), (F.col("scope_id") == F.col("_s")) & (F.col("_at") == F.col("_c")), "left").drop("_s", "_c", "_at")
-    found = [F.col(f"_l_{c}") for c in names]
-    label = F.when(F.coalesce(*found).isNotNull(), F.least(F.col("node"), *found))
-    return stage(met.select(*nodes.columns, label.alias("label")))
+        given = nodes.where(F.col(c) != "").select("scope_id", c, "node")
+        many = given.groupBy("scope_id", c).agg(F.count("*").alias("_n"), F.min("node").alias("_l")).where("_n > 1").drop("_n")
+        found = given.join(many.hint("shuffle_hash"), ["scope_id", c]).select("node", "_l")
+        met = found if met is None else met.unionByName(found)
+    linked = stage(met.groupBy("node").agg(F.min("_l").alias("_l")))
+    marked = stage(nodes.join(linked.hint("shuffle_hash"), "node", "left").select(*nodes.columns, F.when(F.col("_l").isNotNull(), F.least("node", "_l")).alias("label")))
+    drop(linked)
+    return marked
 
 
 def close_links(marked: DataFrame, names: Sequence[str]) -> DataFrame:
