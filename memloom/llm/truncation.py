@@ -15,14 +15,16 @@ terminator is complete. One without a terminator is held against what its source
 All three statistics are counted over all texts, one text once however often it is repeated. Counts are combined within each
 Arrow batch and again before the shuffle, so no key is gathered anywhere. Words in running text are counted only where a text
 without terminator asks for them: a bit set of fixed size keeps the rest from the shuffle, and the join drops what it lets pass.
+Contexts are hashed over whole batches of texts at once, as arrays, so no word is handled on its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
-from collections import Counter
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,18 +34,16 @@ from pyspark.sql import functions as F
 from memloom.staging import stage
 
 #: Marks that a gateway puts where it has cut, or a writer where they trail off.
-_MARK = re.compile(r"(?:\s*(?:\[(?:clipped|truncated|cut|more|snip(?:ped)?|continued|…|\.\.\.)\]|\((?:clipped|truncated|cut|more|continued|…|\.\.\.)\)|…|\.{3,}|……))+$", re.IGNORECASE)
+_MARK = re.compile(r"(?:\[(?:clipped|truncated|cut|more|snip(?:ped)?|continued|…|\.\.\.)\]|\((?:clipped|truncated|cut|more|continued|…|\.\.\.)\)|…|\.{3})$", re.IGNORECASE)
+#: Characters that such a mark, or a broken escape, has at most.
+_TAIL = 16
 #: What ends a text: sentence ends, closing quotes and brackets, fences, pictographs.
 _TERMINATOR = re.compile("[.。!?！？»”’\"')\\]}`>｡」』）】☀-➿⬀-⯿\U0001f000-\U0001faff️]$")
 #: What no text ends with.
 _DANGLING = re.compile(r"[,:;，、：；(\[{（【「『“‘«\\/&@#|=+-]$")
 _BROKEN = re.compile("(?:�|[\ud800-\udfff]|\\\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&#?\\w{1,8}|%[0-9A-Fa-f]?)$")
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "“": "”", "«": "»"}
-_SIGNS = re.compile("```|[" + re.escape("".join([*_OPEN, *_OPEN.values()])) + "\"\n]|</?[A-Za-z][^<>\n]{0,80}>|<[A-Za-z/][^<>\n]{0,80}$")
-_BREAK = re.compile(r"[.!?！？]+[\"'”’)]?\s+(?=\S)|。\s*(?=\S)|\n\s*(?=\S)")
-_LABEL = re.compile(r"(?:\[[^\]]*\]\s*)?(?:[^\s:]+:\s+)?")
-_AFTER = ".,;:!?\"')]}…”’»，、；："
-_WIDE = re.compile(r"[㐀-鿿]")
+_SIGNS = re.compile("[" + re.escape("".join([*_OPEN, *_OPEN.values()])) + "\"]|</?[A-Za-z][^<>\n]{0,80}>|<[A-Za-z/][^<>\n]{0,80}$")
 
 #: An ending is a source's own if this part of all its texts has it and was not cut at a field limit. Of its texts without
 #: terminator alone would not do: where all of those are cut, common words end some of them.
@@ -61,176 +61,270 @@ BITS = 1 << 22
 
 
 def still_open(text: str) -> bool:
-    """Whether the automaton's stack holds something at the end: a bracket or quote of the last line, or a fence."""
-    if _BROKEN.search(text):
+    """Whether the automaton's stack holds something at the end: a bracket, quote or tag of the last line, or a fence.
+
+    Brackets and quotes don't reach over lines in running text, and a fence that closes closes what is in it. So a fence
+    is open if their number is odd; else the stack of the last line after the last fence is what is left.
+    """
+    if _BROKEN.search(text[-_TAIL:]):
+        return True
+    before, fence, rest = text.rpartition("```")
+    if fence and before.count("```") % 2 == 0:
         return True
     stack: list[str] = []
-    fence = False
-    for m in _SIGNS.finditer(text):
+    for m in _SIGNS.finditer(rest[rest.rfind("\n") + 1 :]):
         s = m[0]
-        if s == "```":
-            fence = not fence
-            stack.clear()
-        elif s == "\n":
-            # Brackets and quotes don't reach over lines in running text; in a fence they do.
-            if not fence:
-                stack.clear()
-        elif s[0] == "<":
+        if s[0] == "<":
             if s[-1] != ">":
                 return True
-        elif s == '"':
-            if stack and stack[-1] == '"':
-                stack.pop()
-            else:
-                stack.append('"')
         elif s in _OPEN:
             stack.append(_OPEN[s])
         elif stack and stack[-1] == s:
             stack.pop()
-    return fence or bool(stack)
+        elif s == '"':
+            stack.append(s)
+    return bool(stack)
+
+
+# Places -----------------------------------------------------------------------------------------------------------
+#
+# Tokens and their contexts are found for many texts at once, as arrays: a text is its code points, a token's hash is a difference
+# of running sums, a context's a weighted sum of its tokens'. Keys are 64-bit hashes; two that share one would be counted together.
+
+_OTHER, _LETTER, _DIGIT, _HAN = range(4)
+_SPACE, _HARD, _TERM, _QUOTE, _SOFT = 1, 2, 4, 8, 16
+#: Characters that are read at a time, about.
+PIECE_CHARS = 1 << 20
+_U, _MASK = np.uint64, (1 << 64) - 1
+_BASE = _U(0x9E3779B97F4A7C15 | 1)
+_UNBASE = _U(pow(int(_BASE), -1, 1 << 64))
+_STEP = _U(0xD6E8FEB86659FD93)
+_CARET = _U(0x5851F42D4C957F2D)
+_SALTS = {k: _U(0xA24BAED4963EE407 * (i + 1) & (1 << 64) - 1) for i, k in enumerate(("W", "N", "O", "S", "T", *range(2, 13)))}
+
+
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point of the basic plane: kind, lower case, role in breaking sentences, and whether it is a capital."""
+    kind, low, role, up = np.zeros(1 << 16, np.uint8), np.arange(1 << 16, dtype=np.uint64), np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, bool)
+    for i in range(1 << 16):
+        c = chr(i)
+        if c.isspace():
+            role[i] = _SPACE
+        elif c.isalnum() or unicodedata.category(c)[0] == "M":
+            kind[i] = _DIGIT if c.isdigit() else _HAN if 0x3400 <= i <= 0x9FFF else _LETTER
+            if kind[i] == _DIGIT:
+                low[i] = ord("0")
+            elif len(c.lower()) == 1:
+                low[i] = ord(c.lower())
+            up[i] = c.isupper()
+    for c in "\n。！？\0":
+        role[ord(c)] |= _HARD
+    for signs, r in ((".!?", _TERM), ("\"'”’)", _QUOTE), (":]", _SOFT)):
+        for c in signs:
+            role[ord(c)] |= r
+    return kind, low, role, up
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (_BASE, _UNBASE):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
-def _folded(piece: str) -> str:
-    return re.sub(r"\d+", "0", re.sub(r"\W+$", "", piece).lower()).strip()
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U(32))
 
 
-def pieces(text: str) -> list[str]:
-    """The sentences and lines of ``text``; all but the last have ended."""
-    return _BREAK.split(text)
+def hashed(text: str) -> np.uint64:
+    return _U(int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little"))
 
 
-def _word_keys(words: list[str], i: int, last: str, asked: Callable[[str], bool]) -> list[str]:
-    """Contexts of a place in running text, shortest first; the longer ones only if the shortest is asked for."""
-    out = []
-    for n in WORDS:
-        k = " ".join([*words[max(0, i + 1 - n) : i], last])
-        if not asked(k):
-            break
-        out.append(k)
-        if n > i:
-            break
-    return out
+class Places:
+    """All tokens of ``texts``, in order: ``doc``, ``last`` (of its text), ``inside`` (the sentence goes on after it), ``ends`` (a
+    sentence ends after it, leaving aside the ends of texts), ``capital``, ``wide``; and keys of any of them.
 
+    Tokens are words in lower case, numbers alike, and single Han characters. Keys: the last word (two Han characters), the two
+    words before it, the sentence's opening with the shortest context, and the contexts from the shortest on. Contexts do not reach over the start of the sentence. Labels ("[time] name: ") stand outside of it.
+    """
 
-def _char_keys(low: str, i: int, asked: Callable[[str], bool]) -> list[str]:
-    out = []
-    for n in CHARS:
-        k = low[max(0, i + 1 - n) : i + 1]
-        if not asked(k):
-            break
-        out.append(k)
-        if n > i:
-            break
+    def __init__(self, texts: list[str]):
+        kinds, lows, roles, ups = _tables()
+        whole = "\0".join([t.replace("\0", " ") for t in texts]) + "\0"
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        basic = np.minimum(points, 0xFFFF)
+        kind = kinds[basic]
+        kind[points >= 0x20000] = _HAN
+        digit = kind == _DIGIT
+        again = np.zeros(len(points), bool)
+        again[1:] = digit[1:] & digit[:-1]
+        # A sign between two digits belongs to the number.
+        kind[1:-1][((points[1:-1] == 0x2E) | (points[1:-1] == 0x2C)) & digit[:-2] & digit[2:]] = _LETTER
+        if again.any():  # a number counts as one digit
+            keep = ~again
+            points, basic, kind = points[keep], basic[keep], kind[keep]
+        role = roles[basic]
+        value = np.where(points > 0xFFFF, points.astype(np.uint64), lows[basic])
+        word = (kind == _LETTER) | (kind == _DIGIT)
+        han = kind == _HAN
+        before, after = np.zeros(len(kind), bool), np.zeros(len(kind), bool)
+        before[1:], after[:-1] = word[:-1], word[1:]
+        start, stop = np.flatnonzero(han | (word & ~before)), np.flatnonzero(han | (word & ~after)) + 1
+        n = self.n = len(start)
+        up, down = _powers(1 << max(20, int(len(kind)).bit_length()))
+        sums = np.zeros(len(kind) + 1, np.uint64)
+        np.cumsum(value * up[: len(kind)], out=sums[1:])
+        h = _mixed((sums[stop] - sums[start]) * down[start])
+        wide = han[start]
+
+        space = np.zeros(len(kind) + 2, bool)
+        space[: len(kind)] = (role & _SPACE) > 0
+        space[: len(kind)] |= points == 0
+        quote = (role & _QUOTE) > 0
+        hard = ((role & _HARD) > 0) | (((role & _TERM) > 0) & (space[1:-1] | (np.append(quote[1:], False) & space[2:])))
+        soft = ((role & _SOFT) > 0) & space[1:-1]
+
+        def in_gap(flag: np.ndarray) -> np.ndarray:
+            seen = np.zeros(len(flag) + 1, np.int32)
+            np.cumsum(flag, out=seen[1:])
+            nxt = np.append(start[1:], len(flag))
+            return seen[nxt] - seen[stop] > 0
+
+        broken, label = in_gap(hard), in_gap(soft)
+        texts_before = np.zeros(len(kind) + 1, np.int32)
+        np.cumsum(points == 0, out=texts_before[1:])
+        self.doc = texts_before[start]
+        self.last = np.append(self.doc[1:] != self.doc[:-1], True)[:n] if n else np.zeros(0, bool)
+        self.ends, self.inside = broken & ~self.last, ~broken & ~label & ~self.last
+        self.capital = ups[np.minimum(points[start], 0xFFFF)] if n else np.zeros(0, bool)
+
+        fresh = np.ones(n, bool)
+        fresh[1:] = (broken | label | self.last)[:-1]
+        index = np.arange(n)
+        self._first = np.maximum.accumulate(np.where(fresh, index, 0)) if n else index
+        self.place, self.wide, self._h = index - self._first, wide, h
+
+    def _back(self, k: int, rows: np.ndarray) -> np.ndarray:
+        """What stands ``k`` tokens before: a token, the start of the sentence once, and then nothing."""
+        p = self.place[rows]
+        return np.where(p >= k, self._h[np.maximum(rows - k, 0)], np.where(p == k - 1, _CARET, _U(0)))
+
+    def words(self, rows: np.ndarray) -> np.ndarray:
+        before = np.where(self.wide[rows] & (self.place[rows] > 0), self._h[np.maximum(rows - 1, 0)], _U(0))
+        return _mixed(self._h[rows] + before * _STEP + _SALTS["W"])
+
+    def names(self, rows: np.ndarray) -> np.ndarray:
+        return _mixed(self._back(1, rows) + self._back(2, rows) * _STEP + _SALTS["N"])
+
+    def contexts(self, rows: np.ndarray, sizes: tuple[int, ...], keep: Callable[[np.ndarray], np.ndarray] = lambda keys: np.ones(len(keys), bool)) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+        """(slot, keys, rows) for the contexts of ``rows`` from the shortest on, and for the opening with the shortest one. Longer
+        ones are formed where ``keep`` holds of the key before, and the context before did not reach the sentence's start."""
+        total, weight, reached = self._h[rows].copy(), _STEP, 1
+        for j, size in enumerate(sizes):
+            while reached < size:
+                total += self._back(reached, rows) * weight
+                weight, reached = _U(int(weight) * int(_STEP) & _MASK), reached + 1
+            keys = _mixed(total + _SALTS[size])
+            yield j, keys, rows
+            hit = keep(keys)
+            if not j:
+                first = self._first[rows[hit]]
+                opening = self._h[first] + np.where(self.wide[first], self._h[np.minimum(first + 1, self.n - 1)] * _STEP, _U(0))
+                yield "O", _mixed(opening * _BASE + total[hit] + _SALTS["O"]), rows[hit]
+            hit &= self.place[rows] + 1 >= size
+            rows, total = rows[hit], total[hit]
+
+
+def _pieces_of(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about PIECE_CHARS characters; a longer text is a range of its own, read whole."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > PIECE_CHARS:
+            yield at, i
+            at, size = i, 0
+        size += len(t) + 1
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def ending_keys(texts: list[str]) -> list[list[int]]:
+    """What the end of each text is known by: its last word, that after which a name stands (0 if none does), the opening
+    with the shortest context, and the contexts from the longest on. Texts without any token have no keys."""
+    out: list[list[int]] = [[] for _ in texts]
+    for a, b in _pieces_of(texts):
+        p = Places(texts[a:b])
+        at = np.flatnonzero(p.last)
+        named = p.capital[at] & (p.place[at] >= 1) & ~p.wide[at]
+        names = np.where(named, p.names(at), _U(0))
+        for doc, word, name in zip(p.doc[at].tolist(), p.words(at).view(np.int64).tolist(), names.view(np.int64).tolist()):
+            out[a + doc] = [word, name, 0]
+        for wide, sizes in ((False, WORDS), (True, CHARS)):
+            for slot, keys, rows in p.contexts(at[p.wide[at] == wide], sizes):
+                for doc, k in zip(p.doc[rows].tolist(), keys.view(np.int64).tolist()):
+                    if slot == "O":
+                        out[a + doc][2] = k
+                    else:
+                        out[a + doc].insert(3, k)
     return out
 
 
-def _opening(low: str) -> str:
-    """The first word (two characters in Chinese) of a line, after a time in brackets and who speaks."""
-    rest = low[_LABEL.match(low).end() :] or low
-    return "O:" + (rest[:2] if _WIDE.match(rest[0]) else rest.split()[0]) + "|"
-
-
-def _name_key(words: list[str], i: int) -> str:
-    return "N:" + " ".join([*words[i - 2 : i], "Xx"])
+def count_places(texts: list[str], whole: np.ndarray, sources: np.ndarray, first: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, how often a sentence ends there, how often it goes on), for the keys whose bit is set in ``asked``.
 
-
-def ending_keys(base: str) -> list[str]:
-    """What the end of a text is known by: its last word (two characters in Chinese), that after which a name stands, or '',
-    and its contexts: the shortest with the sentence's opening, then from the longest on. A context does not reach over the start '^' of the sentence; digits are alike."""
-    piece = pieces(base[-400:])[-1]
-    low = _folded(piece)
-    if not low:
-        return ["", ""]
-    if _WIDE.match(low[-1]):
-        contexts = _char_keys("^" + low, len(low), lambda k: True)
-        return ["W:" + low[-2:], "", _opening(low) + contexts[0], *reversed(contexts)]
-    words = ["^", *low.split()]
-    i = len(words) - 1
-    name = i >= 2 and re.sub(r"\W+$", "", piece).split()[-1][0].isupper()
-    contexts = _word_keys(words, i, words[i], lambda k: True)
-    return ["W:" + words[i], _name_key(words, i) if name else "", _opening(low) + contexts[0], *reversed(contexts)]
-
-
-class Places:
-    """Counts where the sentences of texts end and where they go on, for the endings asked for."""
-
-    def __init__(self, asked: Callable[[str], bool]):
-        self.asked, self.ends, self.inside = asked, Counter(), Counter()
-        self.last_ends, self.last_inside = Counter(), Counter()
-        self.by_source: dict[str, Counter] = {}
-        # Whether a context was asked for; most recur within a batch.
-        self._known: dict[str, bool] = {}
-
-    def _asked(self, k: str) -> bool:
-        v = self._known.get(k)
-        if v is None:
-            v = self._known[k] = self.asked(k)
-        return v
-
-    def add(self, base: str, whole: bool, source: str = "", first: bool = True) -> None:
-        """The last sentence of a text that is not ``whole`` says nothing by its end. A text that another source has too counts
-        for the corpus where it is the ``first``."""
-        known, ends, inside, last_ends, last_inside = self._known, [], [], [], []
-        every = pieces(base)
-        for j, piece in enumerate(every):
-            low = _folded(piece)
-            if not low:
-                continue
-            ended = whole or j < len(every) - 1
-            opening = _opening(low)
-            if not low.isascii() and _WIDE.search(low):
-                chars = "^" + low
-                stop = len(chars) - 1
-                for i in range(1, len(chars) if ended else stop):
-                    if "㐀" <= chars[i] <= "鿿":
-                        k = chars[max(0, i - CHARS[0] + 1) : i + 1]
-                        v = known.get(k)
-                        if v or (v is None and self._asked(k)):
-                            (inside if i < stop else ends).extend(self._more(_char_keys(chars, i, self._asked), opening))
-                if ended and stop > 1:
-                    last_ends.append(chars[-2:])
-                last_inside.extend(chars[i - 1 : i + 1] for i in range(2, stop))
-            words = ["^", *[w.rstrip(_AFTER) for w in low.split()]]
-            raw = ["^", *low.split()]
-            stop = len(words) - 1
-            for i in range(1, len(words) if ended else stop):
-                last = words[i]
-                if not last or "㐀" <= last[-1] <= "鿿":
-                    continue
-                before = f"{raw[i - 2]} {raw[i - 1]}" if i > 1 else "^"
-                k = f"{before} {last}"
-                v = known.get(k)
-                if v or (v is None and self._asked(k)):
-                    (inside if i < stop else ends).extend(self._more(_word_keys(raw, i, last, self._asked), opening))
-                # Any word counts where a name may stand: what matters is whether the sentence goes on after it.
-                if i > 1:
-                    k = f"N:{before} Xx"
-                    v = known.get(k)
-                    if v or (v is None and self._asked(k)):
-                        (inside if i < stop else ends).append(k)
-            last_inside.extend(words[1:-1])
-            if ended:
-                last_ends.append(words[-1])
-        self.by_source.setdefault(source, Counter()).update(last_inside)
-        if not first:
-            return
-        for counter, found in ((self.ends, ends), (self.inside, inside), (self.last_ends, last_ends), (self.last_inside, last_inside)):
-            counter.update(found)
-
-    def _more(self, keys: list[str], opening: str) -> list[str]:
-        if self._asked(k := opening + keys[0]):
-            keys.append(k)
-        return keys
-
-    def rows(self) -> pd.DataFrame:
-        for counter, by_last in ((self.ends, self.last_ends), (self.inside, self.last_inside)):
-            counter.update({k: n for w, n in by_last.items() if self.asked(k := "W:" + w)})
-        keys = list(self.ends.keys() | self.inside.keys())
-        rows = [(None, k, self.ends[k], self.inside[k]) for k in keys]
-        for source, words in self.by_source.items():
-            rows.append((source, "", 0, words.total()))
-            rows += [(source, k, 0, n) for w, n in words.items() if self.asked(k := "W:" + w)]
-        return pd.DataFrame(rows, columns=["source", "ending", "ends", "inside"])
+    ``whole``: whether the text's end is that of a sentence; the end of another says nothing. ``sources``: hashes of the
+    texts' sources, for which last words are counted too; ``first``: whether the text counts for the corpus, not only its source.
+    """
+    found, ended = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    totals: dict[int, int] = {}
+
+    def hits(keys: np.ndarray) -> np.ndarray:
+        return asked[(keys & _U(BITS - 1)).view(np.int64)]
+
+    for a, b in _pieces_of(texts):
+        p = Places(texts[a:b])
+        end = p.ends | (p.last & whole[a:b][p.doc])
+
+        def add(keys: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> None:
+            found.append(keys[chosen])
+            ended.append(end[rows[chosen]])
+
+        known = np.flatnonzero(end | p.inside)
+        corpus = first[a:b][p.doc]
+        words = p.words(known)
+        hit = hits(words)
+        words, at = words[hit], known[hit]
+        add(words, at, corpus[at])
+        # Within the sources: places in running text only.
+        inner = p.inside[at]
+        words, at = words[inner], at[inner]
+        keys = source_keys(words, sources[a:b][p.doc[at]])[0]
+        add(keys, at, hits(keys))
+        for s, c in zip(*np.unique(sources[a:b][p.doc[p.inside]], return_counts=True)):
+            totals[int(s)] = totals.get(int(s), 0) + int(c)
+        known = known[corpus[known]]
+        rows = known[(p.place[known] >= 1) & ~p.wide[known]]
+        keys = p.names(rows)
+        add(keys, rows, hits(keys))
+        for wide, sizes in ((False, WORDS), (True, CHARS)):
+            for _, keys, rows in p.contexts(known[p.wide[known] == wide], sizes, hits):
+                add(keys, rows, hits(keys))
+    keys, at = np.unique(np.concatenate(found), return_inverse=True)
+    every = np.bincount(at, minlength=len(keys))
+    ends = np.bincount(at, weights=np.concatenate(ended), minlength=len(keys)).astype(np.int64)
+    t = np.array(list(totals), np.uint64)
+    keys = np.concatenate([keys, _mixed(t + _SALTS["T"])])
+    return keys.view(np.int64), np.concatenate([ends, np.zeros(len(t), np.int64)]), np.concatenate([every - ends, np.array(list(totals.values()), np.int64)]).astype(np.int64)
+
+
+def source_keys(word: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of last words within their sources, and of all places of those."""
+    return _mixed(word + source * _STEP + _SALTS["S"]), _mixed(source + _SALTS["T"])
 
 
 #: Characters by which an announced length may differ from that of a whole text (parameter of ``inspect``).
@@ -238,31 +332,44 @@ LOOSE = 5
 
 
 def _base(text: str) -> str:
-    """``text`` without the mark of a cut and the white space around it."""
+    """``text`` without the marks of a cut and the white space around them."""
     text = text.rstrip()
-    mark = _MARK.search(text)
-    return text[: mark.start()].rstrip() if mark else text
+    while mark := _MARK.search(text[-_TAIL:]):
+        dots = mark[0] == "..."
+        text = text[: len(text) - len(mark[0])]
+        text = (text.rstrip(".") if dots else text).rstrip()
+    return text
 
 
 def _whole(base: str, open_end: bool) -> bool:
-    return _TERMINATOR.search(base) is not None and not open_end
+    return not open_end and _TERMINATOR.match(base[-1:]) is not None
 
 
 def _endings(documents: DataFrame, key: str, text: str, source: str, declared: str | None) -> DataFrame:
     kind = dict(documents.dtypes)[key]
-    fields = f"`{key}` {kind}, source string, same long, chars int, bytes int, lacking long, complete boolean, broken boolean, keys array<string>"
+    fields = f"`{key}` {kind}, source string, same long, chars int, bytes int, lacking long, complete boolean, broken boolean, keys array<long>, within long, places long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for k, t, s, same, lacking in zip(batch[key], batch[text], batch["source"], batch["same"], batch["lacking"].astype("Int64").astype(object).where(batch["lacking"].notna(), None)):
-                base = _base(t)
-                if not base:
-                    continue
-                open_end = still_open(base)
-                done = _whole(base, open_end)
-                rows.append((k, s, same, len(base), len(base.encode("utf-8", "replace")), lacking, done, not done and (open_end or _DANGLING.search(base) is not None), None if done else ending_keys(base)))
-            yield pd.DataFrame(rows, columns=[key, "source", "same", "chars", "bytes", "lacking", "complete", "broken", "keys"])
+            bases = [_base(t) for t in batch[text]]
+            batch, bases = batch[[bool(b) for b in bases]], [b for b in bases if b]
+            opened = [still_open(b) for b in bases]
+            done = [_whole(b, o) for b, o in zip(bases, opened)]
+            keys: list[list[int] | None] = [None] * len(bases)
+            loose = [i for i, d in enumerate(done) if not d]
+            found = ending_keys([bases[i] for i in loose])
+            named = {s: hashed(s) for s in batch["source"].unique()}
+            words = np.array([k[0] if k else 0 for k in found], np.int64).view(np.uint64)
+            inner, places = source_keys(words, np.array([named[batch["source"].iat[i]] for i in loose], np.uint64))
+            within, all_places = np.zeros(len(bases), np.int64), np.zeros(len(bases), np.int64)
+            within[loose], all_places[loose] = inner.view(np.int64), places.view(np.int64)
+            for i, k in zip(loose, found):
+                keys[i] = k
+            yield pd.DataFrame({
+                key: batch[key].to_numpy(), "source": batch["source"].to_numpy(), "same": batch["same"].to_numpy(), "chars": [len(b) for b in bases], "bytes": [len(b.encode("utf-8", "replace")) for b in bases],
+                "lacking": batch["lacking"].astype("Int64"), "complete": done, "broken": [not d and (o or _DANGLING.match(b[-1:]) is not None) for d, o, b in zip(done, opened, bases)],
+                "keys": keys, "within": within, "places": all_places,
+            })
 
     lacking = (F.col(declared) - F.length(text)).cast("long") if declared else F.lit(None).cast("long")
     chosen = documents.where(F.col(text).isNotNull()).select(key, text, F.coalesce(F.col(source), F.lit("")).alias("source"), F.xxhash64(text).alias("same"), lacking.alias("lacking"))
@@ -270,8 +377,8 @@ def _endings(documents: DataFrame, key: str, text: str, source: str, declared: s
 
 
 def _asked_bits(asked: DataFrame) -> bytes:
-    """The set of the ``ending``s asked for, as BITS bits by their CRC: it may let others pass, it holds back none."""
-    bit = F.crc32(F.encode("ending", "UTF-8")) % BITS
+    """The set of the ``ending``s asked for, as BITS bits: it may let others pass, it holds back none."""
+    bit = F.expr(f"ending & {BITS - 1}L")
     words = asked.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     out = np.zeros(BITS // 64, dtype="<i8")
     for r in words.collect():
@@ -280,22 +387,18 @@ def _asked_bits(asked: DataFrame) -> bytes:
 
 
 def _places(documents: DataFrame, key: str, text: str, once: DataFrame, bits: bytes) -> DataFrame:
-    """How often each ending asked for stands at the end of a sentence and within one, over the texts of ``once``; and for
-    each source how often its words do within one, '' being all of them."""
-
-    def asked(k: str) -> bool:
-        h = zlib.crc32(k.encode("utf-8", "replace")) % BITS
-        return bits[h >> 3] >> (h & 7) & 1 == 1
+    """How often each ending asked for stands at the end of a sentence and within one, over the texts of ``once``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            places = Places(asked)
-            for t, whole, s, first in zip(batch[text], batch["complete"], batch["source"], batch["first"]):
-                places.add(_base(t), whole, s, first)
-            yield places.rows()
+            named = {s: hashed(s) for s in batch["source"].unique()}
+            sources = np.array([named[s] for s in batch["source"]], np.uint64)
+            keys, ends, inside = count_places([_base(t) for t in batch[text]], batch["complete"].to_numpy(bool), sources, batch["first"].to_numpy(bool), asked)
+            yield pd.DataFrame({"ending": keys, "ends": ends, "inside": inside})
 
-    counted = documents.select(key, text).join(once, key).select(F.col(text), "complete", "source", "first").mapInPandas(run, "source string, ending string, ends long, inside long")
-    return counted.groupBy("source", "ending").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
+    counted = documents.select(key, text).join(once, key).select(F.col(text), "complete", "source", "first").mapInPandas(run, "ending long, ends long, inside long")
+    return counted.groupBy("ending").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
 
 
 def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", declared: str | None = None) -> DataFrame:
@@ -307,12 +410,13 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     statistics decide.
     """
     texts = stage(_endings(documents, key, text, source, declared))
-    loose = texts.where("not complete").select(key, "source", "same", "chars", "bytes", "lacking", "broken", "keys")
+    loose = texts.where("not complete").select(key, "source", "same", "chars", "bytes", "lacking", "broken", "keys", F.get("keys", F.lit(0)).alias("last"), "within", "places")
 
     # What a source's texts without terminator share; copies of a text count once.
-    once = loose.groupBy("source", "same").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"), F.first(F.col("keys")[0]).alias("last"))
+    once = loose.groupBy("source", "same").agg(*[F.first(c).alias(c) for c in ("chars", "bytes", "last", "within", "places")])
     total = once.groupBy("source").agg(F.count("*").alias("loose"))
-    whole = texts.select("source", "same").distinct().groupBy("source").agg(F.count("*").alias("every"))
+    by_source = texts.groupBy("source", "same").agg(F.min(key).alias(key), F.max("complete").alias("complete"))
+    whole = by_source.groupBy("source").agg(F.count("*").alias("every"))
     lengths = once.select("source", "last", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x"))
     # A cut leaves many endings at one length; texts from one template have one.
     by_last = lengths.groupBy("source", "x.unit", "x.size", "last").agg(F.count("*").alias("m"))
@@ -322,21 +426,25 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
 
     near = lambda limits, size: F.coalesce(F.exists(limits, lambda x: (F.col(size) <= x) & (F.col(size) >= x - 3)), F.lit(False))
     at_limit = near(F.col("char_limits"), "chars") | near(F.col("byte_limits"), "bytes")
-    own = once.join(limits, "source", "left").where(~at_limit).groupBy("source", "last").agg(F.count("*").alias("own"))
-
-    asked = loose.select(key, F.posexplode("keys").alias("slot", "ending")).where("ending != ''")
-    by_source = texts.groupBy("source", "same").agg(F.min(F.struct(key, "complete")).alias("x"))
-    first = by_source.groupBy("same").agg(F.min(f"x.{key}").alias("_first"))
-    counts = stage(_places(documents, key, text, by_source.join(first, "same").select("source", "x.*", (F.col(f"x.{key}") == F.col("_first")).alias("first")), _asked_bits(asked)))
-    places = counts.where("source is null").drop("source")
-    running = counts.where("source is not null")
-    # Of each word that ends a source's texts, its part of the places within them.
-    all_words = running.where("ending = ''").select("source", F.col("inside").alias("all_words"))
-    within = running.where("ending != ''").join(all_words, "source").select("source", F.col("ending").alias("last"), (F.col("inside") / F.col("all_words")).alias("within"))
-    own = own.join(within, ["source", "last"], "left")
-    # Slots: the last word, the name, the contexts.
+
+    # Endings that a source has often, at most 1 / OWN_ENDING of them.
+    own = once.join(limits, "source", "left").where(~at_limit & F.col("last").isNotNull()).groupBy("source", "last").agg(F.count("*").alias("own"), F.first("within").alias("within"), F.first("places").alias("places"))
+    own = stage(own.join(whole, "source").withColumn("share", F.col("own") / F.col("every")).where((F.col("share") >= OWN_ENDING) & (F.col("own") >= LIMIT_TEXTS)))
+
+    # The last word matters where it may be a name, and where it may be a source's own ending.
+    asked = loose.select(key, F.posexplode("keys").alias("slot", "ending"), (F.get("keys", F.lit(1)) != 0).alias("named")).where("ending != 0 and (slot > 0 or named)").drop("named")
+    bits = _asked_bits(asked.select("ending").unionByName(own.select(F.explode(F.array("last", "within")).alias("ending"))))
+    first = by_source.groupBy("same").agg(F.min(key).alias("_first"))
+    once_read = by_source.join(first, "same").select("source", key, "complete", (F.col(key) == F.col("_first")).alias("first"))
+    counts = stage(_places(documents, key, text, once_read, bits))
     ratio = F.col("ends") / (F.col("ends") + F.col("inside"))
-    known = asked.join(places.withColumn("seen", F.col("ends") + F.col("inside")).withColumn("ratio", ratio), "ending")
+
+    # The part of the places within the source's texts that have the same word.
+    own = own.join(counts.select(F.col("ending").alias("within"), F.col("inside").alias("here")), "within", "left").join(counts.select(F.col("ending").alias("places"), F.col("inside").alias("every_place")), "places", "left")
+    own = own.where(F.col("share") >= OWN_TIMES * F.coalesce(F.col("here") / F.col("every_place"), F.lit(0.0))).select("source", "last", F.lit(True).alias("own_ending"))
+
+    # Slots: the last word, the name, the contexts.
+    known = asked.join(counts.select("ending", (F.col("ends") + F.col("inside")).alias("seen"), ratio.alias("ratio")), "ending")
     counted = known.groupBy(key).agg(
         F.max(F.when(F.col("slot") == 0, F.col("ratio"))).alias("last_ratio"),
         F.max(F.when((F.col("slot") == 1) & (F.col("seen") >= NAME_SEEN), F.col("ratio"))).alias("name_ratio"),
@@ -344,15 +452,8 @@ def inspect(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     )
     by_name = (F.col("name_ratio") >= ENDS) & (F.col("last_ratio") >= NAME_ENDS)
     ended = F.coalesce(F.col("context_ratio") >= ENDS, by_name, F.lit(False))
-    joined = (
-        loose.join(counted, key, "left")
-        .join(whole, "source")
-        .join(own.withColumnRenamed("last", "_last"), (loose["source"] == own["source"]) & (F.col("keys")[0] == F.col("_last")), "left")
-        .drop(own["source"])
-        .join(limits, "source", "left")
-    )
-    own_share = F.coalesce(F.col("own"), F.lit(0)) / F.col("every")
-    own_ending = F.coalesce((own_share >= OWN_ENDING) & (F.col("own") >= LIMIT_TEXTS) & (own_share >= OWN_TIMES * F.coalesce("within", F.lit(0.0))), F.lit(False))
+    own_ending = F.coalesce("own_ending", F.lit(False))
+    joined = loose.join(counted, key, "left").join(own, ["source", "last"], "left").join(limits, "source", "left")
     by_ending = F.col("broken") | (at_limit & ~own_ending) | ~(own_ending | ended)
     return joined.select(
         key,
