@@ -60,9 +60,24 @@ def revision_kind(c: Column | str) -> Column:
     return F.when(value.isin("assertion", "correction", "retraction"), value)
 
 
+def nfkc(c: Column | str) -> Column:
+    """NFKC form, from the ICU library that Spark brings along; texts in ASCII are in it already and cost nothing.
+
+    Spark takes a call by reflection for nondeterministic: use it in a projection, not in a grouping or an aggregate.
+    """
+    c = _col(c)
+    return F.when(c.isNull() | (F.length(c) == F.octet_length(c)), c).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True)))
+
+
+def casefold(c: Column | str) -> Column:
+    """Full case folding (ß to ss, final sigma and so on)."""
+    c = _col(c)
+    return F.when(c.isNull() | (F.length(c) == F.octet_length(c)), F.lower(c)).otherwise(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True)))
+
+
 def normal_text(c: Column | str) -> Column:
-    """Lower case without white space and common punctuation; '' if null."""
-    return F.regexp_replace(label(c), NORMAL_DROP, "")
+    """NFKC, lower case, without white space and common punctuation; '' if null."""
+    return F.regexp_replace(label(nfkc(c)), NORMAL_DROP, "")
 
 
 def scope_key(scope: Mapping[str, Column], extra: Column) -> Column:
@@ -91,10 +106,15 @@ def grams(c: Column | str, size: int) -> Column:
 
 
 def lexical_tokens(c: Column | str) -> Column:
-    """Word tokens 'w:' and Han characters and pairs 'h:' of a folded text, with repeats; underscores separate."""
-    folded = F.replace(F.lower(_col(c)), F.lit("ß"), F.lit("ss"))
+    """Word tokens 'w:' and Han characters and pairs 'h:' of a text in NFKC and folded case, with repeats; underscores separate."""
+    folded = casefold(nfkc(c))
     words = F.regexp_extract_all(folded, F.lit(r"(?U)[^\W_㐀-䶿一-鿿]+"), F.lit(0))
     runs = F.regexp_extract_all(folded, F.lit("[㐀-䶿一-鿿]+"), F.lit(0))
-    parts = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.concat(F.lit("h:"), F.substring(r, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-    han = F.flatten(F.transform(runs, lambda r: F.concat(parts(r, 1), parts(r, 2))))
-    return F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), han)
+
+    def han(run: Column) -> Column:
+        # A run is split once; taking each character out of it would read it from the start every time.
+        chars = F.regexp_extract_all(run, F.lit("."), F.lit(0))
+        pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars)), lambda x, y: F.concat(F.lit("h:"), x, y))
+        return F.concat(F.transform(chars, lambda x: F.concat(F.lit("h:"), x)), F.filter(pairs, lambda x: x.isNotNull()))
+
+    return F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), F.when(F.size(runs) > 0, F.flatten(F.transform(runs, han))).otherwise(F.array().cast("array<string>")))

@@ -59,7 +59,7 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     """
     parts: list[DataFrame] = []
     chunk: list[tuple[int, Sequence[float]]] = []
-    for r in queries.where(F.col(embedding).isNotNull()).select(key, embedding).toLocalIterator():
+    for r in queries.where(F.col(embedding).isNotNull()).select(key, embedding).toLocalIterator(prefetchPartitions=True):
         chunk.append((r[0], r[1]))
         if len(chunk) == block:
             parts.append(stage(search(vectors, chunk, k, key, embedding)))

@@ -11,7 +11,7 @@ from memloom.operators import claims, context, lexical, style
 from memloom.operators.filters import rejection_reason
 from memloom.plans.filter_queries import CURRENT, memories, messages
 from memloom.plans.filter_queries import ORACLE as FILTER_SQL
-from memloom.plans.registry import Registry, sql_id, sql_label, sql_trim
+from memloom.plans.registry import Registry, sql_id, sql_label, sql_normal, sql_trim
 from memloom.plans.retrieval_queries import _BM25, _documents, _questions
 from memloom.sources.tables import table
 
@@ -45,7 +45,7 @@ def a02_episode_count(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("scope_key").agg(F.count("*").alias("observed"), F.count_distinct(F.nullif("k", F.lit(""))).alias("value"), F.bool_and(F.col("k") != "").alias("exact"))
 
 
-_NORMAL = rf"regexp_replace({sql_label('content')}, '[\s\p{{Z}}，。！？；：、,.!?;:]+', '', 'g')"
+_NORMAL = sql_normal("content")
 
 
 @R.query(f"""with g as ({FILTER_SQL['f08_structural_gate']})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions import times, values
 from memloom.functions.keys import clean_id, micros, trimmed
 from memloom.operators.filters import Plan, RecordFilter, contains_text, eligible, first_of_identity, has_anchor, rank_score, rejection_reason, score_gate
-from memloom.plans.registry import Registry, sql_id, sql_label, sql_trim
+from memloom.plans.registry import Registry, sql_id, sql_label, sql_normal, sql_trim
 from memloom.sources.tables import table
 
 R = Registry()
@@ -143,12 +143,12 @@ def f10_score_gate(spark: SparkSession, d: str) -> DataFrame:
     return memories(spark, d).select("memory_id", lex.alias("lexical"), sem.alias("semantic"), rel.alias("relation"), keep.alias("keep")).where("keep").drop("keep")
 
 
-_NORMAL = rf"regexp_replace({sql_label('content')}, '[\s\p{{Z}}，。！？；：、,.!?;:]+', '', 'g')"
+_NORMAL = sql_normal("content")
 
 
 @R.query(f"select memory_id from memories where contains({_NORMAL}, 'rainjacket') or contains({_NORMAL}, '雨衣') or contains({_NORMAL}, 'regenjacke')")
 def f11_entity_anchor(spark: SparkSession, d: str) -> DataFrame:
-    return memories(spark, d).where(has_anchor(["rainjacket", "雨衣", "regenjacke"], values.normal_text("content"))).select("memory_id")
+    return memories(spark, d).select("memory_id", values.normal_text("content").alias("n")).where(has_anchor(["rainjacket", "雨衣", "regenjacke"], F.col("n"))).select("memory_id")
 
 
 @R.query("""with base as (select memory_id, scope_key, 'base' origin, 0 rank from memories where kind = 'fact' and state = 'confirmed'),

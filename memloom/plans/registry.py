@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +43,33 @@ def sql_id(c: str) -> str:
 def sql_label(c: str) -> str:
     """Trimmed, lower case, '' if null."""
     return f"lower({sql_trim(f'coalesce({c}, chr(32))')})"
+
+
+def _compatible() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters of the basic plane and their NFKC forms: one to one, and (common signs only) one to many."""
+    one, many = [], []
+    for i in range(0x80, 0x10000):
+        c, n = chr(i), unicodedata.normalize("NFKC", chr(i))
+        if n != c and not 0xD800 <= i < 0xE000:
+            if len(n) == 1:
+                one.append((c, n))
+            elif c in "…‥ﬁﬂﬀﬃﬄ½¼¾№℃™ª":
+                many.append((c, n))
+    return "".join(c for c, _ in one), "".join(n for _, n in one), many
+
+
+_FROM, _TO, _MANY = _compatible()
+
+
+def sql_nfkc(c: str) -> str:
+    """NFKC without composing of marks, for the characters that texts have."""
+    for x, y in _MANY:
+        c = f"replace({c}, '{x}', '{y}')"
+    quoted = lambda t: t.replace("'", "''")
+    return f"translate({c}, '{quoted(_FROM)}', '{quoted(_TO)}')"
+
+
+def sql_normal(c: str) -> str:
+    """NFKC, lower case, without white space and common punctuation; '' if null."""
+    spaced = f"coalesce({c}, chr(32))"
+    return rf"regexp_replace(lower({sql_trim(sql_nfkc(spaced))}), '[\s\p{{Z}}，。！？；：、,.!?;:]+', '', 'g')"

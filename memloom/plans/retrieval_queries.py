@@ -9,7 +9,7 @@ from memloom.functions import times, values
 from memloom.functions.keys import clean_id, micros
 from memloom.operators import graph, lexical, vectors
 from memloom.plans.filter_queries import memories, messages
-from memloom.plans.registry import Registry, sql_id, sql_label
+from memloom.plans.registry import Registry, sql_id, sql_label, sql_nfkc, sql_normal
 from memloom.sources.tables import table
 
 R = Registry()
@@ -32,7 +32,7 @@ _TOKENS = (
     "list_concat(list_transform(list_filter(regexp_extract_all(regexp_replace({f}, '[一-鿿㐀-䶿]+', ' ', 'g'), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: 'w:' || w), "
     "flatten(list_transform(regexp_extract_all({f}, '[一-鿿㐀-䶿]+'), lambda r: list_concat(list_transform(range(1, length(r) + 1), lambda i: 'h:' || substr(r, i, 1)), list_transform(range(1, length(r)), lambda i: 'h:' || substr(r, i, 2))))))"
 )
-_TOK = lambda c: _TOKENS.format(f=_FOLD.format(c))
+_TOK = lambda c: _TOKENS.format(f=_FOLD.format(sql_nfkc(c)))
 
 _BM25 = f"""docs as materialized (select {_LANG} scope, doc_id doc, {_TOK("coalesce(text,'')")} t from documents),
 len as (select scope, doc, len(t) l from docs), st as (select scope, count(*) n, avg(l) a from len group by scope),
@@ -62,7 +62,7 @@ def a01_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     return terms.groupBy("scope", "term").agg(F.count("*").alias("df")).where("df >= 5")
 
 
-@R.query(rf"""select memory_id, regexp_replace({sql_label('content')}, '[\s\p{{Z}}，。！？；：、,.!?;:]+', '', 'g') as normal from memories where content is not null""")
+@R.query(f"select memory_id, {sql_normal('content')} as normal from memories where content is not null")
 def c03_normal_text(spark: SparkSession, d: str) -> DataFrame:
     return memories(spark, d).where("content is not null").select("memory_id", values.normal_text("content").alias("normal"))
 
@@ -113,39 +113,55 @@ def c13_cosine(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(vectors.cosine(F.col("embedding"), ones), 6).alias("similarity"))
 
 
-_FUSED = f"""with {_BM25}, a as (select query, doc ident, rank from bm where rank <= 30),
-b as (select query, ident, row_number() over (partition by query order by l desc, ident) as rank from (select query, ident, l from a join len on len.doc = a.ident) ),
+#: The hybrid's queries: the documents that have a vector and an id divisible by 50, asked by their text and by their vector.
+_ASKED = "(select doc_id item_id, text, lang from documents where doc_id % 50 = 0 and doc_id in (select vec_id from embeddings))"
+_FUSED = f"""with {_BM25.replace("from eval_items", "from " + _ASKED).replace("lower(lang) scope, unnest", _LANG + " scope, unnest")}, found as (select query, doc, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from sc where doc <> query),
+a as (select query, doc ident, rank from found where rank <= 30),
+vs as (select x.vec_id query, v.vec_id ident, round(list_cosine_similarity(x.embedding::double[], v.embedding::double[]), 9) s from embeddings x, embeddings v where x.vec_id % 50 = 0 and v.vec_id <> x.vec_id and x.vec_id in (select item_id from {_ASKED})),
+b as (select query, ident, rank from (select query, ident, row_number() over (partition by query order by s desc, ident) as rank from vs) where rank <= 30),
 u as (select query, ident, rank, 1.0 w from a union all select query, ident, rank, 0.5 w from b),
 f as (select query, ident, round(sum(w / (60 + rank)), 12) score, min(rank) best_rank, count(*) sources from u group by query, ident)
 """
 
 
 def _ranked_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    a = lexical.bm25(_documents(spark, d), _questions(spark, d), 30).select("query", F.col("doc").alias("ident"), "rank")
-    size = _documents(spark, d).select(F.col("doc").alias("ident"), F.size(values.lexical_tokens("text")).alias("l"))
-    order = Window.partitionBy("query").orderBy(F.desc("l"), "ident")
-    return a, a.join(size, "ident").select("query", "ident", F.row_number().over(order).alias("rank"))
+    """The thirty best by words and the thirty best by vectors of each of the hybrid's queries, without itself."""
+    v = table(spark, d, "embeddings")
+    docs = _documents(spark, d)
+    asked = docs.where("doc % 50 = 0").join(v.select(F.col("vec_id").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("query"), "scope", "text")
+    hits = lexical.bm25(docs, asked, 31).where("doc != query").select("query", F.col("doc").alias("ident"), "rank")
+    order = Window.partitionBy("query").orderBy("rank")
+    a = hits.withColumn("rank", F.row_number().over(order)).where("rank <= 30")
+    near = vectors.search_all(v, v.where("vec_id % 50 = 0").join(asked.select(F.col("query").alias("vec_id")), "vec_id", "left_semi"), 30)
+    return a, near.select("query", F.col("vec_id").alias("ident"), "rank")
 
 
 @R.query(_FUSED + "select query, ident, round(score / (1.5 / 61), 6) as similarity, best_rank, sources, position from (select *, row_number() over (partition by query order by score desc, best_rank, ident) as position from f) where position <= 10")
 def a14_rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Words and vectors searched side by side and fused by rank."""
     a, b = _ranked_lists(spark, d)
     return vectors.reciprocal_rank_fusion([(a, 1.0), (b, 0.5)], ["query"]).where("position <= 10").select("query", "ident", "similarity", "best_rank", "sources", "position")
 
 
-@R.query(_FUSED + """, j as (select a.query, a.ident, a.rank ra, b.rank rb from a join b using (query, ident))
+_TWO = f"""with {_BM25}, a as (select query, doc ident, rank from bm where rank <= 30),
+b as (select query, ident, row_number() over (partition by query order by l desc, ident) as rank from (select query, ident, l from a join len on len.doc = a.ident))
+"""
+
+
+@R.query(_TWO + """, j as (select a.query, a.ident, a.rank ra, b.rank rb from a join b using (query, ident))
 select query, ident, row_number() over (partition by query order by round(1.0 / (60 + ra) + 1.0 / (60 + rb), 12) desc, ra) as position from j""")
 def w06_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Two complete orders of the same candidates, weighted alike; ties keep the first order."""
-    a, b = _ranked_lists(spark, d)
-    both = a.join(b.withColumnRenamed("rank", "rb"), ["query", "ident"])
+    """Two complete orders of the same candidates (best match, most words), weighted alike; ties keep the first order."""
+    a = lexical.bm25(_documents(spark, d), _questions(spark, d), 30, length=True).select("query", F.col("doc").alias("ident"), "rank", "len")
+    longest = Window.partitionBy("query").orderBy(F.desc("len"), "ident")
+    both = a.withColumn("rb", F.row_number().over(longest))
     order = Window.partitionBy("query").orderBy(F.desc(F.round(1 / (60 + F.col("rank")) + 1 / (60 + F.col("rb")), 12)), "rank")
     return both.select("query", "ident", F.row_number().over(order).alias("position"))
 
 
-@R.query(_FUSED + "select query, ident, round(1 - (rank - 1) / greatest(count(*) over (partition by query) - 1, 1)::double, 6) as score from a")
+@R.query(_TWO + "select query, ident, round(1 - (rank - 1) / greatest(count(*) over (partition by query) - 1, 1)::double, 6) as score from a")
 def w12_listwise_score(spark: SparkSession, d: str) -> DataFrame:
-    a, _ = _ranked_lists(spark, d)
+    a = lexical.bm25(_documents(spark, d), _questions(spark, d), 30).select("query", F.col("doc").alias("ident"), "rank")
     n = F.count("*").over(Window.partitionBy("query"))
     return a.select("query", "ident", F.round(1 - (F.col("rank") - 1) / F.greatest(n - 1, F.lit(1)), 6).alias("score"))
 
@@ -210,9 +226,8 @@ def j06_edge_lookup(spark: SparkSession, d: str) -> DataFrame:
     return way.select("uuid", F.when(F.col("forward"), F.col("here")).otherwise(F.col("there")).alias("source"), F.when(F.col("forward"), F.col("there")).otherwise(F.col("here")).alias("target")).distinct()
 
 
-@R.query(f"""with {_EDGES} select a.source as anchor, a.target as mid, b.target as last from edges a join edges b on b.source = a.target
-where a.name = 'PLACED' and b.name = 'CONTAINS' and a.uuid <> b.uuid and a.valid_at <= timestamp '1997-01-01' and b.valid_at <= timestamp '1997-01-01'
-and a.source in (select 'c' || c_custkey from customer where c_nationkey = 7)""")
+@R.query("""with first as (select 'c' || o_custkey anchor, 'o' || o_orderkey mid, o_orderkey k from orders join customer on c_custkey = o_custkey and c_nationkey = 7 where o_orderdate <= timestamp '1997-01-01')
+select anchor, mid, 'p' || l_partkey as last from first join lineitem on l_orderkey = k where l_shipdate <= timestamp '1997-01-01'""")
 def j07_typed_path(spark: SparkSession, d: str) -> DataFrame:
     anchors = table(spark, d, "customer").where("c_nationkey = 7").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("anchor"))
     paths = graph.typed_paths(edges(spark, d), anchors, [("PLACED", True), ("CONTAINS", True)], "1997-01-01 00:00:00")
