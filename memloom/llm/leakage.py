@@ -8,16 +8,18 @@ intersected by offset: matches of one passage lie at the same offset, or nearly
 Pairs of document and item that can still hold half of the item go to an exact comparison of positions, which finds the
 runs, their changed words and their order.
 
-The item side is a stated query set with a checked size; it is broadcast. The corpus side is never grouped by term, so a
+The item side is a stated query set, taken in blocks of bounded text, which are broadcast. The corpus side is never grouped by term, so a
 term in a third of all texts makes no large task.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
+import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,8 +63,12 @@ def needed(n: int) -> int:
 MAX_RUNS, MIN_WORDS, MIN_CHARS, MAX_HOLE = 4, 6, 10, 3
 #: Part of an item that must be held, and of the held part that may be changed.
 HELD, CHANGED = 0.5, 1 / 8
-#: Part of an item's positions, the rarest, that are looked up first. ``needed`` of all positions leaves some of these.
-RAREST = 0.75
+#: Of the pairs looked up, the rarest, so many are sure to be in a text that holds half of the item.
+SURE = 4
+#: Offsets that count together.
+BAND = 8
+#: Characters of items that are looked for at once (parameter of ``find``).
+BLOCK_CHARS = 4_000_000
 
 
 class Item:
@@ -113,59 +119,85 @@ def held(item: Item, at: dict[tuple[str, str], int], terms: np.ndarray, position
             exact[-1][1] = q + 2
         else:
             exact.append([q, q + 2, p])
-    # Runs: stretches joined over short holes, on the same or a near diagonal.
+    # Runs: stretches joined over short holes, on the same or a near diagonal. Only what ends right before a stretch, in item and
+    # text, can be joined with it, so each looks at a fixed number of places however many stretches there are.
     exact.sort()
-    size = len(exact)
-    best: list[tuple[int, int, int, int]] = []  # matched, start q, start p, previous
+    best: list[tuple[int, int, int]] = []  # matched, start q, start p
+    by_end: dict[tuple[int, int], int] = {}
+    holes = range(-1, MAX_HOLE + 1)
     for j, (q0, q1, p0) in enumerate(exact):
-        top = (q1 - q0, q0, p0, -1)
-        for i in range(j):
-            a0, a1, b0 = exact[i]
-            b1 = b0 + a1 - a0
-            hole_q, hole_p = q0 - a1, p0 - b1
-            if -1 <= hole_q <= MAX_HOLE and -1 <= hole_p <= MAX_HOLE:
-                matched = best[i][0] + q1 - max(q0, a1)
-                span = q1 - best[i][1]
-                if matched > top[0] and span - matched <= max(2, span * 0.25):
-                    top = (matched, best[i][1], best[i][2], i)
+        top = (q1 - q0, q0, p0)
+        for hole_q in holes:
+            for hole_p in holes:
+                i = by_end.get((q0 - hole_q, p0 - hole_p))
+                if i is not None:
+                    matched = best[i][0] + q1 - max(q0, exact[i][1])
+                    span = q1 - best[i][1]
+                    if matched > top[0] and span - matched <= max(2, span * 0.25):
+                        top = (matched, best[i][1], best[i][2])
         best.append(top)
+        by_end[q1, p0 + q1 - q0] = j
     least = MIN_CHARS if item.wide else MIN_WORDS
     runs = []
-    for j in range(size):
-        matched, q0, p0, _ = best[j]
-        q1, p1 = exact[j][1], exact[j][2] + exact[j][1] - exact[j][0]
+    for (matched, q0, p0), (a0, q1, b0) in zip(best, exact):
+        p1 = b0 + q1 - a0
         changed = max(q1 - q0, p1 - p0) - matched
         if q1 - q0 >= least and changed <= (q1 - q0) * CHANGED + 1:
-            runs.append((q0, q1, p0, p1, max(0, changed)))
-    runs.sort(key=lambda r: (r[1], r[0]))
-    # Chain of at most MAX_RUNS runs, in order and apart in item and text, that holds the most.
-    chain: list[list[tuple[int, int]]] = []  # by run: (held, changed) with 1 .. MAX_RUNS runs
+            runs.append((p0, p1, q0, q1, max(0, changed)))
+    # Chain of at most MAX_RUNS runs, in order and apart in item and text, that holds the most. Runs are taken in the text's order;
+    # of those that have ended, only the best for each end in the item and each number of runs is kept.
+    runs.sort()
+    ended: list[tuple[int, int, list[tuple[int, int]]]] = []  # heap: end p, end q, (held, changed) with 1 .. MAX_RUNS runs
+    behind: dict[int, list[tuple[int, int]]] = {}
     top = (0, 0, 0)
-    for j, (q0, q1, p0, p1, c) in enumerate(runs):
-        rows = [(q1 - q0, c)] + [(0, 0)] * (MAX_RUNS - 1)
-        for i in range(j):
-            # A run may reach a token or two too far, into what happens to follow it.
-            double = max(0, runs[i][1] - q0)
-            if double <= 2 and runs[i][3] <= p0 + 2:
+    for p0, p1, q0, q1, c in runs:
+        # A run may reach a token or two too far, into what happens to follow it.
+        while ended and ended[0][0] <= p0 + 2:
+            _, end, rows = heapq.heappop(ended)
+            behind[end] = [max(x, y) for x, y in zip(rows, behind.get(end, rows))]
+        rows = [(q1 - q0, -c)] + [(0, 0)] * (MAX_RUNS - 1)
+        for end, chains in behind.items():
+            double = max(0, end - q0)
+            if double <= 2:
                 for k in range(1, MAX_RUNS):
-                    h, d = chain[i][k - 1]
-                    if h and h + q1 - q0 - double > rows[k][0]:
-                        rows[k] = (h + q1 - q0 - double, d + c)
-        chain.append(rows)
+                    h, d = chains[k - 1]
+                    if h:
+                        rows[k] = max(rows[k], (h + q1 - q0 - double, d - c))
+        heapq.heappush(ended, (p1, q1, rows))
         for k, (h, d) in enumerate(rows):
             if h > top[0]:
-                top = (h, d, k + 1)
+                top = (h, -d, k + 1)
     return top
 
 
-def find(documents: DataFrame, items: list[tuple[int, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
+def _bands(n: int) -> int:
+    """Bands of offsets that the passages of an item of ``n`` tokens can lie in: two a run, and more as words are added or lost."""
+    return 2 * MAX_RUNS + int(np.ceil((n * CHANGED + 1) * MAX_HOLE / BAND))
+
+
+def find(documents: DataFrame, items: DataFrame | Iterable[tuple[int, str]], key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents with the items they hold: ``key``, item_id, held (part of the item), changed (part of that), runs.
 
+    ``items``: a table (item_id, text), or such rows, of any number. They are taken in blocks of ``block_chars`` characters,
+    each against all documents, so what is broadcast is bounded by that.
     Defined results: null and empty texts hold nothing; items of fewer than two tokens are found nowhere; repeated
     texts each have their own rows.
     """
+    rows = items.select("item_id", "text").toLocalIterator() if isinstance(items, DataFrame) else iter(items)
+    out, block, size = None, [], 0
+    for item_id, t in itertools.chain(rows, [(None, None)]):
+        if block and (item_id is None or size + len(t or "") > block_chars):
+            found = _find(documents, block, key, text)
+            out, block, size = found if out is None else out.unionByName(found), [], 0
+        if item_id is not None and t:
+            block.append((item_id, t))
+            size += len(t)
+    return _find(documents, [], key, text) if out is None else out
+
+
+def _find(documents: DataFrame, items: list[tuple[int, str]], key: str, text: str) -> DataFrame:
     spark = documents.sparkSession
-    known = [i for i in (Item(k, t) for k, t in items if t) if i.n >= 2]
+    known = [i for i in (Item(k, t) for k, t in items) if i.n >= 2]
     vocabulary: dict[tuple[str, str], int] = {}
     for item in known:
         for pair in item.pairs:
@@ -175,17 +207,23 @@ def find(documents: DataFrame, items: list[tuple[int, str]], key: str = "doc_id"
     flat = postings.select(key, F.explode(F.arrays_zip("terms", "positions")).alias("x")).select(key, F.col("x.terms").alias("term"), F.col("x.positions").alias("position"))
     # One row a term of the item vocabulary: as bounded as the items.
     frequency = {r.term: r.df for r in flat.groupBy("term").agg(F.count_distinct(key).alias("df")).collect()}
-    seeds = []
+    # A text that holds half of an item lacks at most n - 1 - needed of its n - 1 pairs. Of so many and SURE more, the rarest, it has SURE.
+    seeds, limits, bands = [], [], []
     for number, item in enumerate(known):
         order = sorted(range(len(item.pairs)), key=lambda q: (frequency.get(vocabulary[item.pairs[q]], 0), q))
-        seeds += [(vocabulary[item.pairs[q]], number, q) for q in order[: int(np.ceil(RAREST * len(order)))]]
-    common = {number: item.n - 1 - int(np.ceil(RAREST * (item.n - 1))) for number, item in enumerate(known)}
+        sure = min(SURE, needed(item.n), len(order))
+        taken = order[: min(len(order), len(order) - needed(item.n) + sure)]
+        seeds += [(vocabulary[item.pairs[q]], number, q) for q in taken]
+        limits.append(sure)
+        bands.append(_bands(item.n))
     asked = spark.createDataFrame(pd.DataFrame(seeds, columns=["term", "item", "q"]), "term int, item int, q int")
-    met = flat.join(F.broadcast(asked), "term").select(key, "item", "q", F.floor((F.col("position") - F.col("q")) / 8).alias("offset"))
-    # Offset-adjusted intersection: what an item's terms share must lie at few offsets (of width 8, so neighbours count together).
-    by_offset = met.groupBy(key, "item", "offset").agg(F.count_distinct("q").alias("shared"))
-    limit = F.array(*[F.lit(max(1, needed(item.n) - common[n])) for n, item in enumerate(known)] or [F.lit(1)])
-    candidates = by_offset.groupBy(key, "item").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= F.get(limit, F.col("item")))
+    met = flat.join(F.broadcast(asked), "term").select(key, "item", "q", F.floor((F.col("position") - F.col("q")) / BAND).alias("band"))
+    # Offset-adjusted intersection: an item's terms in a text count by the offset at which they stand, and only the offsets that its
+    # runs can lie at count together. Terms that a text merely happens to have lie at as many offsets as they are.
+    by_band = met.groupBy(key, "item", "band").agg(F.count_distinct("q").alias("shared"))
+    of_item = lambda values: F.get(F.array(*[F.lit(v) for v in values] or [F.lit(1)]), F.col("item"))
+    most = F.slice(F.sort_array(F.collect_list("shared"), asc=False), 1, F.first(of_item(bands)))
+    candidates = by_band.groupBy(key, "item").agg(F.aggregate(most, F.lit(0).cast("long"), lambda s, x: s + x).alias("shared")).where(F.col("shared") >= of_item(limits))
     listed = candidates.groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("items"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -61,8 +61,7 @@ def p7_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = [(r.item_id, r.text) for r in small_table(spark, sf_dir, "eval_items")]
-    return leakage.find(table(spark, sf_dir, "documents"), items)
+    return leakage.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,29 @@ def test_leaks_and_near_misses(spark):
 def test_no_items_no_documents(spark):
     df = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     assert leakage.find(df, []).count() == 0 and leakage.find(df.limit(0), [(1, ITEM)]).count() == 0
+
+
+def test_a_long_repetitive_text_takes_linear_time():
+    import time
+
+    import numpy as np
+
+    item = leakage.Item(1, "the lamp and the door and the lamp and the gate")
+    at = {}
+    for pair in item.pairs:
+        at.setdefault(pair, len(at))
+    took = []
+    for n in (2_000, 16_000):
+        found = leakage.tokens("the lamp and the door and " * (n // 6))
+        hits = [(at[p], i) for i, p in enumerate(zip(found, found[1:])) if p in at]
+        began = time.perf_counter()
+        assert leakage.held(item, at, np.array([t for t, _ in hits]), np.array([i for _, i in hits]))[0] >= 6
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0]
+
+
+def test_items_in_blocks_and_as_a_table(spark):
+    df = spark.createDataFrame([(1, FILLER + ITEM), (2, ZH)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEM), (8, ZH), (9, None)], "item_id long, text string")
+    for size in (1, 10_000):
+        assert {(r.doc_id, r.item_id) for r in leakage.find(df, items, block_chars=size).collect()} == {(1, 7), (2, 8)}
