@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Texts in one lot, about (parameter of ``pack``).
 LOT_TEXTS = 10_000
+#: Partitions that lots are spread over, at most; beyond it a task packs several lots, one after the other.
+MOST_PARTITIONS = 20_000
 
 
 def place(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -104,7 +106,8 @@ def pack(df: DataFrame, text: str, budgets: list[tuple[int, int]], key: str = "d
     kind = dict(df.dtypes)[key]
     schema = f"budget_id int, lot int, container long, `{key}` {kind}, from_byte long, bytes long, oversized boolean"
     cut = sized.withColumn("lot", F.pmod(F.xxhash64(key), F.lit(lots)).cast("int"))
-    return cut.groupBy("lot").applyInPandas(_pack_lot(dict(budgets), key), schema)
+    # A lot is a task's worth of work but few bytes; its own partitioning keeps small lots from being put together into one task.
+    return cut.repartition(min(lots, MOST_PARTITIONS), "lot").groupBy("lot").applyInPandas(_pack_lot(dict(budgets), key), schema)
 
 
 def utilization(packed: DataFrame, budgets: list[tuple[int, int]]) -> DataFrame:
