@@ -31,24 +31,24 @@ def p4_kept_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.keep_one(table(spark, sf_dir, "memories"), "scope_key", ["idempotency_key"], "created_at", "memory_id").select("memory_id", "scope_key", "state")
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return intervals.merge(intervals.claim_intervals(table(spark, sf_dir, "claims")), ["scope_key", "subject_id", "topic_key"], "a", "b")
+def _merged(spark: SparkSession, sf_dir: str) -> intervals.Merged:
+    return intervals.Merged(intervals.claim_intervals(table(spark, sf_dir, "claims")), ["scope_key", "subject_id", "topic_key"], "a", "b")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = _merged(spark, sf_dir)[1]
-    return gaps.select("scope_key", "subject_id", "topic_key", (F.col("p0") - intervals.SHIFT).alias("gap_from_us"), (F.col("p1") - intervals.SHIFT).alias("gap_to_us"))
+    gaps = _merged(spark, sf_dir).gaps()
+    return gaps.select("scope_key", "subject_id", "topic_key", F.col("p0").alias("gap_from_us"), F.col("p1").alias("gap_to_us"))
 
 
 def p5_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous periods; an open end is null."""
-    periods = _merged(spark, sf_dir)[0]
+    periods = _merged(spark, sf_dir).periods()
     return periods.select(
         "scope_key",
         "subject_id",
         "topic_key",
-        F.when(F.col("p0") > 0, F.col("p0") - intervals.SHIFT).alias("from_us"),
-        F.when(F.col("p1") < (1 << intervals.DOMAIN_BITS), F.col("p1") - intervals.SHIFT).alias("to_us"),
+        F.when(F.col("p0") > intervals.LOW, F.col("p0")).alias("from_us"),
+        F.when(F.col("p1") < intervals.HIGH, F.col("p1")).alias("to_us"),
     )
 
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from memloom.operators import intervals
 
 SCHEMA = "k string, a long, b long, cell long"
@@ -22,14 +24,13 @@ def brute(rows):
 
 
 def run(spark, rows):
-    p, g = intervals.merge(spark.createDataFrame(rows, SCHEMA), ["k"], "a", "b")
-    return {tuple(r) for r in p.collect()}, {tuple(r) for r in g.collect()}
+    m = intervals.Merged(spark.createDataFrame(rows, SCHEMA), ["k"], "a", "b")
+    return {tuple(r) for r in m.periods().collect()}, {tuple(r) for r in m.gaps().collect()}
 
 
 def test_blocks_are_canonical(spark):
-    df = spark.createDataFrame([("k", 3, 12, 0)], SCHEMA)
-    found = sorted((r.b0, r.b1) for r in intervals.blocks(df, ["k"], "a", "b").collect())
-    assert found == [(3, 4), (4, 8), (8, 12)]
+    found = spark.range(1).select(intervals.blocks(F.lit(3).cast("long"), F.lit(12).cast("long"), 4).alias("x")).first().x
+    assert sorted((b["index"] << b["level"], (b["index"] + 1) << b["level"]) for b in found) == [(3, 4), (4, 8), (8, 12)]
 
 
 def test_small_and_huge_intervals_against_brute_force(spark):
@@ -42,15 +43,21 @@ def test_small_and_huge_intervals_against_brute_force(spark):
 
 
 def test_open_ends_nested_touching_impossible(spark):
-    top = 1 << intervals.DOMAIN_BITS
-    rows = [("x", 0, 50, 0), ("x", 50, 60, 0), ("x", 55, 57, 0), ("x", 100, top, 0), ("x", 90, 80, 0), ("x", None, 70, 0), ("x", 70, 70, 0), ("y", 5, 5, 0)]
-    assert run(spark, rows) == ({("x", 0, 60), ("x", 100, top)}, {("x", 60, 100)})
+    low, top = -(1 << 63), (1 << 63) - 1
+    rows = [("x", low, 50, 0), ("x", 50, 60, 0), ("x", 55, 57, 0), ("x", 100, top, 0), ("x", 90, 80, 0), ("x", None, 70, 0), ("x", 70, 70, 0), ("y", 5, 5, 0)]
+    assert run(spark, rows) == ({("x", low, 60), ("x", 100, top)}, {("x", 60, 100)})
+
 
+def test_cells_fill_and_merge_over_tiers(spark):
+    # Touching intervals make full cells of the second tier; one long interval covers many small cells.
+    rows = [("x", i, i + 1, 0) for i in range(5000)] + [("x", 6000 + 2 * i, 6001 + 2 * i, 0) for i in range(300)] + [("y", 0, 9000, 0)] + [("y", 3 * i, 3 * i + 1, 0) for i in range(2900)]
+    assert run(spark, rows) == brute(rows)
 
-def test_cells_filled_by_many_blocks(spark):
-    cell = 1 << intervals.CELL_BITS
-    rows = [("x", i * cell // 8, (i + 1) * cell // 8, 0) for i in range(16)] + [("x", 3 * cell, 3 * cell + 1, 0)]
-    assert run(spark, rows) == ({("x", 0, 2 * cell), ("x", 3 * cell, 3 * cell + 1)}, {("x", 2 * cell, 3 * cell)})
+
+def test_a_key_with_a_third_of_the_rows(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["hot", "hot", f"k{i % 200}"]), a, a + r.randrange(1, 900), 0) for i in range(3000) for a in [r.randrange(1_000_000)]]
+    assert run(spark, rows) == brute(rows)
 
 
 def test_empty(spark):
