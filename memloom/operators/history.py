@@ -2,22 +2,33 @@
 
 Method: affected-chain rebuild. A chain is all periods of one entity. When a batch of reports arrives, in whatever
 order and however late, only the entities named in it are touched: their raw reports are retrieved, their chains are
-built anew from all of them, and the new chains take the place of the old ones. The table is replaced by writing a new
-version folder and then its name, in one rename, so a reader sees the old chains or the new ones, never a mixture.
+built anew from all of them, and the new chains take the place of the old ones. ``HistoryTable`` keeps chains and raw reports in
+buckets of entities; a batch adds its reports, writes the buckets it touches to a folder of its own, and then puts them in force
+by one rename of the list of folders. A reader sees the old chains or the new ones, never a mixture; of two writers that
+started from one version, the second fails and loses nothing.
 
 A chain is read in order, so an entity with very many versions would make one long task. Its versions are cut into
-slices of time; each slice is scanned on its own and hands over only its last known state and last values.
+slices of equal length; each slice is scanned on its own and hands over only its last known state and last values.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.keys import clean_id, micros
+from memloom.operators.ranks import positions
+from memloom.staging import scratch, stage
 
 #: Versions of one entity that are scanned in one piece (parameter of ``build_chains``).
 SLICE_ROWS = 50_000
+#: Buckets of a history table (parameter of ``HistoryTable``): a batch rewrites those that hold an entity of it. A few thousand suit 100 TB.
+BUCKETS = 32
+#: What is kept of a report.
+REPORT = ["log_id", "memory_id", "version", "state", "valid_from", "valid_to", "updated_at", "recorded_at"]
 
 
 def versions(log: DataFrame) -> DataFrame:
@@ -47,9 +58,13 @@ def build_chains(found: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     Columns: memory_id, started_us, ended_us (null for the last), state, valid_from, valid_to, version (the largest
     version number reported in the period).
     """
-    size = found.groupBy("memory_id").agg(F.count("*").alias("_n"), F.min("started_us").alias("_lo"), F.max("started_us").alias("_hi")).where(F.col("_n") > slice_rows)
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / slice_rows))).cast("long")
-    cut = found.join(size, "memory_id", "left").withColumn("slice", F.coalesce(F.floor((F.col("started_us") - F.col("_lo")) / width), F.lit(0)).cast("long")).drop("_n", "_lo", "_hi")
+    found = stage(found)
+    sizes = found.groupBy("memory_id").agg(F.count("*").alias("_n")).where(F.col("_n") > slice_rows).select("memory_id")
+    cut = found.withColumn("slice", F.lit(0).cast("long"))
+    if sizes.limit(1).count():
+        # Only entities with more versions than a slice holds are numbered.
+        long = positions(found.join(sizes, "memory_id", "left_semi"), ["memory_id"], ["started_us"], "_at", base=0)
+        cut = found.join(sizes, "memory_id", "left_anti").withColumn("slice", F.lit(0).cast("long")).unionByName(long.withColumn("slice", F.floor(F.col("_at") / slice_rows).cast("long")).drop("_at"))
     order = Window.partitionBy("memory_id", "slice").orderBy("started_us")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = cut.withColumns({"known": F.last("state", ignorenulls=True).over(so_far), "at": F.row_number().over(order)})
@@ -90,7 +105,8 @@ def rebuild_affected(chains: DataFrame, log: DataFrame, batch: DataFrame, slice_
 def history(log: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The history after the whole log, received as a first load and then one batch of what was recorded later.
 
-    The first load is what was recorded in the first half of the log's time; what follows corrects and prolongs it.
+    The first load is what was recorded in the first half of the log's time; what follows corrects and prolongs it, and
+    replaces the chains it touches in a ``HistoryTable`` in the shared folder.
     Defined results: an empty log gives an empty history; repeated reports change nothing; states of white space
     are unknown; a version that changes neither state nor validity starts no period.
     """
@@ -99,39 +115,109 @@ def history(log: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
         return build_chains(versions(log), slice_rows)
     middle = F.lit(span.a + (span.b - span.a) / 2)
     early = F.coalesce(F.col("recorded_at") <= middle, F.lit(True))
-    first, later = log.where(early), log.where(~early)
-    return rebuild_affected(build_chains(versions(first), slice_rows), first, later, slice_rows)
+    table = HistoryTable(log.sparkSession, scratch(log.sparkSession, "history"), slice_rows=slice_rows)
+    table.apply(log.where(early))
+    table.apply(log.where(~early))
+    return table.read()
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer has put the next version in force first; apply the batch again."""
 
 
 class HistoryTable:
-    """A history kept on storage; ``apply`` folds in a batch and replaces the table in one rename."""
+    """A history kept on storage; ``apply`` folds in a batch of reports and puts the chains it touches in force in one rename.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    ``path``/data holds folders of written buckets, each written once and never changed; ``path``/versions holds for each
+    version the list of those in force: of the reports, all ever added; of the chains, for each bucket its folder.
+    """
 
-    def current(self) -> int:
-        names = [f.getPath().getName() for f in (self._fs.listStatus(self._path(self.path)) if self._fs.exists(self._path(self.path)) else [])]
-        return max([int(n[5:]) for n in names if n.startswith("done-")], default=0)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, slice_rows: int = SLICE_ROWS):
+        self.spark, self.path, self.buckets, self.slice_rows = spark, path.rstrip("/"), buckets, slice_rows
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def read(self, part: str = "chains") -> DataFrame | None:
-        n = self.current()
-        return self.spark.read.parquet(f"{self.path}/v{n}/{part}") if n else None
+    def current(self) -> int:
+        """The number of the version in force; 0 if there is none."""
+        at = self._hadoop.Path(f"{self.path}/versions")
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return max([int(n) for n in names if n.isdigit()], default=0)
+
+    def _listed(self, version: int) -> dict:
+        if not version:
+            return {"reports": [], "chains": {}}
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/versions/{version}").collect()))
+
+    def _read(self, folders: list[str], kind: str, buckets: list[int] | None = None) -> DataFrame | None:
+        """Written folders together, ``buckets`` of them only; None if there are none."""
+        out = None
+        for f in folders:
+            part = self.spark.read.parquet(f"{self.path}/data/{f}/{kind}")
+            part = part if buckets is None else part.where(F.col("bucket").isin(buckets))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _chains(self, listed: dict, buckets: list[int] | None = None) -> DataFrame | None:
+        """The chains in force: of each folder, the buckets that are listed for it."""
+        of: dict[str, list[int]] = {}
+        for b, folder in listed["chains"].items():
+            if buckets is None or int(b) in buckets:
+                of.setdefault(folder, []).append(int(b))
+        out = None
+        for folder, its in of.items():
+            part = self._read([folder], "chains", its)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def read(self) -> DataFrame | None:
+        """The chains in force."""
+        found = self._chains(self._listed(self.current()))
+        return None if found is None else found.drop("bucket")
+
+    def reports(self) -> DataFrame | None:
+        found = self._read(self._listed(self.current())["reports"], "reports")
+        return None if found is None else found.drop("bucket")
+
+    def _write(self, df: DataFrame, folder: str, kind: str) -> None:
+        # One more hash than the buckets have, so that a bucket with a long chain isn't one task's; a file a task and bucket.
+        spread = df.repartition("bucket", F.pmod(F.xxhash64("memory_id", *df.columns[:1]), F.lit(8)))
+        spread.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/data/{folder}/{kind}")
 
     def apply(self, batch: DataFrame) -> int:
-        """Returns the number of the new version. A crash before the last rename leaves the old version in force."""
+        """Returns the number of the new version. A crash before the rename leaves the old version in force.
+
+        Raises ``ConcurrentWrite`` if another writer was first; then nothing of ``batch`` is in force.
+        """
         n = self.current()
-        if n:
-            log = self.read("log")
-            chains = rebuild_affected(self.read(), log, batch)
-            log = log.unionByName(batch.select(*log.columns))
+        listed, folder = self._listed(n), uuid.uuid4().hex
+        bucket = F.pmod(F.xxhash64("memory_id"), F.lit(self.buckets)).cast("int")
+        known = batch.select(*REPORT).withColumn("memory_id", clean_id("memory_id")).where("memory_id is not null").withColumn("bucket", bucket)
+        self._write(known, folder, "reports")
+        added = self.spark.read.schema(known.schema).parquet(f"{self.path}/data/{folder}/reports")
+        touched = sorted(r.bucket for r in added.select("bucket").distinct().collect())
+        before, chains = self._read(listed["reports"], "reports", touched), self._chains(listed, touched)
+        if before is None or chains is None:
+            new = build_chains(versions(added), self.slice_rows)
         else:
-            log, chains = batch, build_chains(versions(batch))
-        new = f"{self.path}/v{n + 1}"
-        chains.write.mode("overwrite").parquet(f"{new}/chains")
-        log.write.mode("overwrite").parquet(f"{new}/log")
-        self._fs.create(self._path(f"{self.path}/.mark-{n + 1}"), True).close()
-        self._fs.rename(self._path(f"{self.path}/.mark-{n + 1}"), self._path(f"{self.path}/done-{n + 1}"))
+            new = rebuild_affected(chains.drop("bucket"), before.drop("bucket"), added.drop("bucket"), self.slice_rows)
+        self._write(new.withColumn("bucket", bucket), folder, "chains")
+        written = sorted(r.bucket for r in self.spark.read.parquet(f"{self.path}/data/{folder}/chains").select("bucket").distinct().collect()) if touched else []
+        chains_now = {b: f for b, f in listed["chains"].items() if int(b) not in touched} | {str(b): folder for b in written}
+        self._put_in_force(n + 1, {"reports": listed["reports"] + [folder] * bool(touched), "chains": chains_now})
         return n + 1
+
+    def _put_in_force(self, version: int, listed: dict) -> None:
+        made, final = self._hadoop.Path(f"{self.path}/versions/.{uuid.uuid4().hex}"), self._hadoop.Path(f"{self.path}/versions/{version}")
+        out = self._fs.create(made, False)
+        out.write(bytearray(json.dumps(listed).encode()))
+        out.close()
+        # A rename that must not replace anything: the file system refuses it to the second of two writers.
+        files = self._hadoop.FileContext.getFileContext(made.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        never = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
+        try:
+            files.rename(made, final, never)
+        except Exception as e:
+            self._fs.delete(made, False)
+            if self._fs.exists(final):
+                raise ConcurrentWrite(f"version {version} of {self.path} is in force already") from e
+            raise

@@ -82,5 +82,25 @@ def test_table_replaces_affected_chains_only(spark, tmp_path):
     assert table.apply(spark.createDataFrame(rows[:80], SCHEMA)) == 1
     assert table.apply(spark.createDataFrame(rows[80:], SCHEMA)) == 2
     assert periods(table.read()) == expected(rows)
-    (tmp_path / "h" / "v3").mkdir()  # a crash before the last rename
+    (tmp_path / "h" / "versions" / ".crashed").touch()  # a crash before the last rename
     assert table.current() == 2
+
+
+def test_a_batch_rewrites_its_buckets_only_and_the_second_writer_fails(spark, tmp_path):
+    import pytest
+
+    rows = [(i, "update", f"m{i % 40}", 1, "a", None, None, at(i // 40), at(i // 40), "") for i in range(120)]
+    table = history.HistoryTable(spark, f"file://{tmp_path}/h", buckets=8)
+    table.apply(spark.createDataFrame(rows, SCHEMA))
+    first = table._listed(1)["chains"]
+    late = [(500, "update", "m7", 1, "b", None, None, at(1), at(9), "")]
+    table.apply(spark.createDataFrame(late, SCHEMA))
+    second = table._listed(2)["chains"]
+    assert sum(first[b] != second[b] for b in first) == 1 and len(first) == len(second) > 1
+    assert periods(table.read()) == expected(rows + late)
+    other = history.HistoryTable(spark, f"file://{tmp_path}/h", buckets=8)
+    other.current = lambda: 1  # started before the second batch was in force
+    with pytest.raises(history.ConcurrentWrite):
+        other.apply(spark.createDataFrame([(501, "update", "m8", 1, "c", None, None, at(1), at(9), "")], SCHEMA))
+    assert table.current() == 2 and periods(table.read()) == expected(rows + late)
+    assert table.apply(spark.createDataFrame([], SCHEMA)) == 3 and periods(table.read()) == expected(rows + late)
