@@ -6,7 +6,7 @@ A provider maps DataFrames or columns, never single rows: models behind it get A
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
@@ -14,10 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Table to table: retrieval strategies, rerankers, semantic and relation indexes, processors.
-TableFunction = Callable[[DataFrame], DataFrame]
-
-
 class EmbeddingProvider(Protocol):
     dimension: int
 
@@ -30,11 +26,6 @@ class EvidenceVerifier(Protocol):
         """supported, unsupported or unassessed"""
 
 
-class GroupScorer(Protocol):
-    def score(self, df: DataFrame, query: str) -> DataFrame:
-        """``df`` with a score for each row of each query"""
-
-
 class HashEmbedding:
     """Signed hashing of words into a unit vector; the same text has the same vector everywhere."""
 
@@ -62,3 +53,23 @@ class QuotedEvidence:
 
     def verdict(self, claim: Column, cited: Column) -> Column:
         return F.when(claim == "", "unsupported").when(cited <= 0, "unassessed").otherwise("supported")
+
+
+class MemoryAnalyzer(Protocol):
+    def drafts(self, messages: DataFrame, text: str) -> DataFrame:
+        """``messages`` with memory_type, content and confidence, a row a draft"""
+
+
+class RuleAnalyzer:
+    """Drafts from a few turns of speech: what someone prefers, plans or has promised. An offline stand-in for a model."""
+
+    #: Memory type, confidence, and what leads to the content.
+    RULES = (
+        ("preference", 0.9, r"(?i)(?:would rather|prefiere|prefers?) ([^.!?。]+)"),
+        ("plan", 0.8, r"(?i)(?:let's|want to|wollen|打算) ?([^.!?。]+)"),
+        ("commitment", 0.7, r"(?i)(?:promised to|答应把) ?([^.!?。]+)"),
+    )
+
+    def drafts(self, messages: DataFrame, text: str) -> DataFrame:
+        each = [F.struct(F.lit(kind).alias("memory_type"), F.nullif(F.regexp_extract(text, rule, 1), F.lit("")).alias("content"), F.lit(sure).alias("confidence")) for kind, sure, rule in self.RULES]
+        return messages.select("*", F.explode(F.filter(F.array(*each), lambda x: x.content.isNotNull())).alias("_d")).select(*messages.columns, "_d.*")
