@@ -13,7 +13,6 @@ slices of equal length; each slice is scanned on its own and hands over only its
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from memloom.functions.keys import clean_id, micros
 from memloom.operators.ranks import positions
 from memloom.staging import scratch, stage
+from memloom.storage import ConcurrentWrite, Versions
 
 #: Versions of one entity that are scanned in one piece (parameter of ``build_chains``).
 SLICE_ROWS = 50_000
@@ -121,10 +121,6 @@ def history(log: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     return table.read()
 
 
-class ConcurrentWrite(RuntimeError):
-    """Another writer has put the next version in force first; apply the batch again."""
-
-
 class HistoryTable:
     """A history kept on storage; ``apply`` folds in a batch of reports and puts the chains it touches in force in one rename.
 
@@ -134,19 +130,14 @@ class HistoryTable:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, slice_rows: int = SLICE_ROWS):
         self.spark, self.path, self.buckets, self.slice_rows = spark, path.rstrip("/"), buckets, slice_rows
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._versions = Versions(spark, f"{self.path}/versions")
 
     def current(self) -> int:
         """The number of the version in force; 0 if there is none."""
-        at = self._hadoop.Path(f"{self.path}/versions")
-        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        return max([int(n) for n in names if n.isdigit()], default=0)
+        return self._versions.current()
 
     def _listed(self, version: int) -> dict:
-        if not version:
-            return {"reports": [], "chains": {}}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/versions/{version}").collect()))
+        return self._versions.read(version) or {"reports": [], "chains": {}}
 
     def _read(self, folders: list[str], kind: str, buckets: list[int] | None = None) -> DataFrame | None:
         """Written folders together, ``buckets`` of them only; None if there are none."""
@@ -203,21 +194,5 @@ class HistoryTable:
         self._write(new.withColumn("bucket", bucket), folder, "chains")
         written = sorted(r.bucket for r in self.spark.read.parquet(f"{self.path}/data/{folder}/chains").select("bucket").distinct().collect()) if touched else []
         chains_now = {b: f for b, f in listed["chains"].items() if int(b) not in touched} | {str(b): folder for b in written}
-        self._put_in_force(n + 1, {"reports": listed["reports"] + [folder] * bool(touched), "chains": chains_now})
+        self._versions.put(n + 1, {"reports": listed["reports"] + [folder] * bool(touched), "chains": chains_now})
         return n + 1
-
-    def _put_in_force(self, version: int, listed: dict) -> None:
-        made, final = self._hadoop.Path(f"{self.path}/versions/.{uuid.uuid4().hex}"), self._hadoop.Path(f"{self.path}/versions/{version}")
-        out = self._fs.create(made, False)
-        out.write(bytearray(json.dumps(listed).encode()))
-        out.close()
-        # A rename that must not replace anything: the file system refuses it to the second of two writers.
-        files = self._hadoop.FileContext.getFileContext(made.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        never = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
-        try:
-            files.rename(made, final, never)
-        except Exception as e:
-            self._fs.delete(made, False)
-            if self._fs.exists(final):
-                raise ConcurrentWrite(f"version {version} of {self.path} is in force already") from e
-            raise

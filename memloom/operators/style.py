@@ -86,3 +86,18 @@ def confidence(messages: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.sqrt(messages / 100)), 4)
 
 
+
+
+def directives(profiles: DataFrame, keys: list[str], levels: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """Guidance by feature: ``keys``, feature, priority, directive, confidence.
+
+    ``levels``: of each ratio, up to where it is rare, from where it is frequent, and its priority. Lengths are a range around the median.
+    """
+    low = F.greatest(F.lit(1.0), F.round(F.col("median_length") * 0.6))
+    high = F.greatest(low, F.least(F.lit(200.0), F.round(F.greatest("mean_length", "median_length") * 1.4)))
+    length = F.concat(low.cast("long").cast("string"), F.lit("-"), high.cast("long").cast("string"))
+    each = [F.struct(F.lit("message_length").alias("feature"), F.lit(100).cast("long").alias("priority"), length.alias("directive"))]
+    for c, (rare, often, priority) in levels.items():
+        word = F.when(F.col(c) >= often, "often").when(F.col(c) <= rare, "rarely").otherwise("naturally")
+        each.append(F.struct(F.lit(c).alias("feature"), F.lit(priority).cast("long").alias("priority"), word.alias("directive")))
+    return profiles.select(*keys, F.explode(F.array(*each)).alias("x"), confidence(F.col("messages")).alias("confidence")).select(*keys, "x.*", "confidence")

@@ -66,8 +66,11 @@ def u05_best_of_mode(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(f"with {_POS} select delivery_id, lag(delivery_id) over w as previous, lead(delivery_id) over w as following from pos window w as (partition by scope_key, s order by o)")
 def w07_previous_next(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("scope_key", "s").orderBy("o")
-    return _positions(spark, d).select("delivery_id", F.lag("delivery_id").over(order).alias("previous"), F.lead("delivery_id").over(order).alias("following"))
+    """The neighbours by their places: an equi-join on (session, place), as a window would read a session in one task."""
+    pos = _positions(spark, d)
+    beside = lambda k, name: pos.select("scope_key", "s", (F.col("o") + k).alias("o"), F.col("delivery_id").alias(name))
+    met = pos.join(beside(1, "previous"), ["scope_key", "s", "o"], "left").join(beside(-1, "following"), ["scope_key", "s", "o"], "left")
+    return met.select("delivery_id", "previous", "following")
 
 
 @R.query(f"with {_BM25} select query, doc, round(1 - rank / (2.0 * count(*) over (partition by query)), 6) as score from bm where rank <= 10")

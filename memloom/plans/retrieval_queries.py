@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions import times, values
 from memloom.functions.keys import clean_id, micros
 from memloom.operators import graph, lexical, vectors
+from memloom.operators.ranks import positions
 from memloom.plans.filter_queries import memories, messages
 from memloom.plans.registry import Registry, sql_id, sql_label, sql_nfkc, sql_normal
 from memloom.sources.tables import table
@@ -292,7 +293,7 @@ _POS = f"""pos as (select scope_key, {sql_id('thread_id')} s, delivery_id, row_n
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
     rows = messages(spark, d).select("scope_key", clean_id("thread_id").alias("s"), "at", "delivery_id").where("s is not null")
-    return rows.withColumn("o", F.row_number().over(Window.partitionBy("scope_key", "s").orderBy("at", "delivery_id"))).drop("at")
+    return positions(rows, ["scope_key", "s"], ["at", "delivery_id"], "o").drop("at")
 
 
 @R.query(f"""with {_POS} select a.delivery_id, b.delivery_id as neighbor, b.o - a.o as "offset" from pos a join pos b on b.scope_key = a.scope_key and b.s = a.s and abs(b.o - a.o) between 1 and 2 where a.delivery_id % 50 = 0""")

@@ -10,7 +10,9 @@ from memloom.functions.keys import clean_id, micros
 from memloom.operators import store
 from memloom.plans.filter_queries import memories, messages
 from memloom.plans.registry import Registry, sql_id, sql_label
+from memloom.operators.ranks import positions
 from memloom.sources.tables import table
+from memloom.staging import scratch
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -73,9 +75,10 @@ def s11_recent_owner(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("""select scope_key, case when coalesce(content, '') = '' then 'skipped' else 'created' end as status, count(*) as n from memories group by 1, 2""")
 def s12_json_import(spark: SparkSession, d: str) -> DataFrame:
-    """Records written as JSON lines, read back with an explicit schema, counted by outcome."""
-    line = F.to_json(F.struct("memory_id", "scope_key", "content", "kind"))
-    items = memories(spark, d).select(F.from_json(line, "memory_id string, scope_key string, content string, kind string").alias("i"), ).select("i.*")
+    """Records written as files of JSON lines, read back from there with an explicit schema, counted by outcome."""
+    folder = scratch(spark, "s12")
+    memories(spark, d).select("memory_id", "scope_key", "content", "kind").write.json(folder)
+    items = spark.read.schema("memory_id string, scope_key string, content string, kind string").json(folder)
     return items.groupBy("scope_key", F.when(F.coalesce("content", F.lit("")) == "", "skipped").otherwise("created").alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -107,8 +110,8 @@ def s17_fallback_edges(spark: SparkSession, d: str) -> DataFrame:
 select scope_key, thread, cast(floor(turn / 4) as bigint) as chunk, count(*) as turns, min(delivery_id) as first_row from t group by scope_key, thread, floor(turn / 4)""")
 def s22_session_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Sessions cut into chunks of four turns."""
-    order = Window.partitionBy("scope_key", "thread").orderBy("at", "delivery_id")
-    turns = messages(spark, d).select("scope_key", clean_id("thread_id").alias("thread"), "at", "delivery_id").where("thread is not null").withColumn("turn", F.row_number().over(order) - 1)
+    rows = messages(spark, d).select("scope_key", clean_id("thread_id").alias("thread"), "at", "delivery_id").where("thread is not null")
+    turns = positions(rows, ["scope_key", "thread"], ["at", "delivery_id"], "turn", base=0)
     return turns.groupBy("scope_key", "thread", F.floor(F.col("turn") / 4).alias("chunk")).agg(F.count("*").alias("turns"), F.min("delivery_id").alias("first_row"))
 
 

@@ -47,7 +47,8 @@ def run_available(source: DataFrame, folder: str, process: Callable[[DataFrame],
 
 def stream(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
     """A parquet folder or file as a stream, with the schema it has now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")  # as a pattern, a single file will do too
+    # As a pattern, a single file will do too; the last letter in brackets keeps neighbours with a longer name out.
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def first_deliveries(messages: DataFrame) -> DataFrame:
