@@ -2,8 +2,8 @@
 
 Method: bounded-quantifier regular expressions. Each match takes up to the limit, from alternatives ordered by the
 strength of the boundary they end at: the end of the text, a blank line, a line end, a sentence end, a clause end, white
-space, a place between whole characters as a reader sees them, and at last any code point. A boundary counts if it
-leaves a piece at least half full. The matches follow each other without a hole; what consecutive pieces share is
+space, a place between whole characters as a reader sees them, and at last any code point. A boundary that leaves a piece at
+least half full comes before one that doesn't, and any boundary before a cut between characters. The matches follow each other without a hole; what consecutive pieces share is
 supplied by starting each piece that many characters before its match.
 
 All of it is built-in expressions: code points are counted as Spark and java.util.regex count them.
@@ -29,7 +29,8 @@ NO_BREAK_BEFORE = r"(?![\p{M}\x{200d}\x{fe00}-\x{fe0f}\x{1f3fb}-\x{1f3ff}])(?<!\
 def pattern(fresh: int) -> str:
     """Matches the next stretch of 1 to ``fresh`` code points."""
     half = (fresh + 1) // 2
-    ways = [rf".{{1,{fresh}}}\z", *(rf".{{{half},{fresh}}}(?:{b})" for b in BOUNDARIES), rf".{{{half},{fresh}}}{NO_BREAK_BEFORE}", rf".{{1,{fresh}}}"]
+    late, early = ((rf".{{{half},{fresh}}}(?:{b})" for b in BOUNDARIES), (rf".{{1,{half - 1}}}(?:{b})" for b in BOUNDARIES if half > 1))
+    ways = [rf".{{1,{fresh}}}\z", *late, *early, rf".{{{half},{fresh}}}{NO_BREAK_BEFORE}", rf".{{1,{fresh}}}"]
     return f"(?s)(?:{'|'.join(ways)})"
 
 
