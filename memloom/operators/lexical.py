@@ -12,6 +12,11 @@ from memloom.staging import stage
 BROADCAST_TERMS = 200_000
 
 
+def small(terms: DataFrame) -> DataFrame:
+    """``terms``, to be broadcast if there are at most BROADCAST_TERMS of them."""
+    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, scope: str = "scope", doc: str = "doc", text: str = "text", query: str = "query", k1: float = 1.2, b: float = 0.75, length: bool = False) -> DataFrame:
     """The best ``k`` documents of the query's scope: query, scope, doc, score, similarity, rank.
 
@@ -19,10 +24,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, scope: str = "scope", doc:
     With ``length`` the number of its tokens comes along. Order is by (score descending, doc); a document without any query term is no hit.
     """
     asked = stage(queries.select(query, scope, lexical_tokens(text).alias("tokens")).select(query, scope, F.explode(F.array_distinct("tokens")).alias("term")))
-    terms = asked.select(scope, "term").distinct()
     # A stated query set is small; then its terms meet the tokens where they are, and only postings asked for are shuffled.
-    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
+    terms = small(asked.select(scope, "term").distinct())
     counted = docs.select(scope, doc, lexical_tokens(text).alias("tokens"))
     counted = counted.select(scope, doc, F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term"))
     # One pass: a row a document and term asked for, and one with the length of each document.

@@ -9,11 +9,13 @@ from memloom.functions import times, values
 from memloom.functions.keys import clean_id, micros, trimmed
 from memloom.operators import claims, context, lexical, style
 from memloom.operators.filters import rejection_reason
+from memloom.operators.ranks import positions
 from memloom.plans.filter_queries import CURRENT, memories, messages
 from memloom.plans.filter_queries import ORACLE as FILTER_SQL
 from memloom.plans.registry import Registry, sql_id, sql_label, sql_normal, sql_trim
 from memloom.plans.retrieval_queries import _BM25, _documents, _questions
 from memloom.sources.tables import table
+from memloom.staging import stage
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -77,16 +79,13 @@ mg as (select memory_id, 'merge' operation, first_value(memory_id) over (partiti
 
 @R.query(_CONSOLIDATED + "select memory_id, operation, canonical from used union all select memory_id, operation, canonical from mg where n > 1")
 def g01_consolidate(spark: SparkSession, d: str) -> DataFrame:
-    return claims.consolidate(memories(spark, d).where("content is not null"))
-
-
-ORACLE["g01_consolidate"] = ORACLE["g01_consolidate"].replace("and kind <> 'memory_conflict')", "and kind <> 'memory_conflict' and content is not null)")
+    return claims.consolidate(memories(spark, d))
 
 
 @R.query(ORACLE["g01_consolidate"].replace("select memory_id, operation, canonical from used union all select memory_id, operation, canonical from mg where n > 1",
     "select operation, count(*) as sources, count(distinct canonical) as canonicals from (select memory_id, operation, canonical from used union all select memory_id, operation, canonical from mg where n > 1) group by operation"))
 def g03_decision_counts(spark: SparkSession, d: str) -> DataFrame:
-    decided = claims.consolidate(memories(spark, d).where("content is not null"))
+    decided = claims.consolidate(memories(spark, d))
     return decided.groupBy("operation").agg(F.count("*").alias("sources"), F.count_distinct("canonical").alias("canonicals"))
 
 
@@ -95,7 +94,7 @@ def g03_decision_counts(spark: SparkSession, d: str) -> DataFrame:
 def g04_canonical_proposals(spark: SparkSession, d: str) -> DataFrame:
     """What each canonical record takes over from its sources."""
     m = memories(spark, d)
-    decided = claims.consolidate(m.where("content is not null")).where("canonical is not null")
+    decided = claims.consolidate(m).where("canonical is not null")
     met = decided.join(m.select("memory_id", "importance", "tags"), "memory_id")
     tags = met.select("canonical", F.explode("tags").alias("tag")).groupBy("canonical").agg(F.count_distinct("tag").alias("tags"))
     return met.groupBy("canonical").agg(F.max("importance").alias("importance"), F.count("*").alias("sources")).join(tags, "canonical", "left").select("canonical", "importance", "sources", F.coalesce("tags", F.lit(0)).alias("tags"))
@@ -154,10 +153,10 @@ def a06_common_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(rf"""with s as (select scope_key, delivery_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+')) w from messages where text is not null),
 g as (select distinct scope_key, delivery_id, substr(w, i, n) phrase from s, range(2, 5) r(n), unnest(range(1, greatest(length(w) - n + 2, 1))) u(i))
-select scope_key, phrase, count(*) as df from g group by scope_key, phrase having count(*) >= 20""")
+select scope_key, phrase, count(*) as df from g group by scope_key, phrase having count(*) >= 3""")
 def a06_phrase_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = messages(spark, d).where("text is not null")
-    return style.phrase_counts(rows, ["scope_key"], F.col("text")).where("df >= 20")
+    return style.phrase_counts(rows, ["scope_key"], F.col("text")).where("df >= 3")
 
 
 @R.query("select scope_key, round(least(1.0, sqrt(count(*) / 100.0)), 4) as confidence, case when avg(length(text)) < 20 then 'keep it short' when avg(length(text)) > 80 then 'write at length' else 'medium' end as directive from messages where text is not null group by scope_key")
@@ -166,20 +165,38 @@ def c23_style_directives(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).where("text is not null").groupBy("scope_key").agg(style.confidence(F.count("*")).alias("confidence"), F.when(mean < 20, "keep it short").when(mean > 80, "write at length").otherwise("medium").alias("directive"))
 
 
-# Quality metrics: the documents of an item's language that hold most of its words stand for judged evidence -----------
+# Quality metrics -------------------------------------------------------------------------------------------------
+
+
+#: Judgements apart from the search: how much of an item's rarer words (in a twentieth of the scope's documents, at most) a document has.
+_JUDGED = f"""with {_BM25}, qt as (select distinct q.query, q.scope, q.term from q join df using (scope, term) where df.df * 20 <= (select n from st where st.scope = q.scope)), qn as (select query, count(*) m from qt group by query),
+held as (select qt.query, po.doc, count(*) h from qt join po using (scope, term) group by qt.query, po.doc), rel as (select query, doc from held join qn using (query) where h * 2 >= m),
+top as (select query, doc, rank from bm where rank <= 20), j as (select r.query, r.doc, t.rank from rel r left join top t on t.query = r.query and t.doc = r.doc)"""
+_HITS = _JUDGED + ", h as (select t.query, t.doc, t.rank, coalesce(3 * h // m, 0) as grade, t.query % 7 as cat, t.query % 2 as part from top t left join held using (query, doc) left join qn using (query))"
 
 
-_HITS = f"with {_BM25}, h as (select query, doc, rank, rank % 3 as grade, query % 7 as cat, query % 2 as part from bm where rank <= 20)"
+def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(the best twenty, every document that has any of an item's rarer words: query, doc, h of m) for each item."""
+    docs, asked = _documents(spark, d), _questions(spark, d)
+    top = lexical.bm25(docs, asked, 20).select("query", "doc", "rank")
+    terms = asked.select("query", "scope", values.lexical_tokens("text").alias("t")).select("query", "scope", F.explode(F.array_distinct("t")).alias("term"))
+    tokens = docs.select("scope", "doc", values.lexical_tokens("text").alias("t"))
+    held = tokens.select("scope", "doc", F.explode(F.array_distinct("t")).alias("term")).join(lexical.small(terms.select("scope", "term").distinct()), ["scope", "term"])
+    held = stage(held)
+    df = held.groupBy("scope", "term").agg(F.count("*").alias("df"))
+    rare = terms.join(df, ["scope", "term"]).join(docs.groupBy("scope").agg(F.count("*").alias("n")), "scope").where("df * 20 <= n").select("query", "scope", "term")
+    return top, held.join(rare, ["scope", "term"]).groupBy("query", "doc").agg(F.count("*").alias("h")).join(rare.groupBy("query").agg(F.count("*").alias("m")), "query")
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.bm25(_documents(spark, d), _questions(spark, d), 20).select("query", "doc", "rank")
-    return hits.withColumns({"grade": F.col("rank") % 3, "cat": F.col("query") % 7, "part": F.col("query") % 2})
+    top, held = judged(spark, d)
+    hits = top.join(held, ["query", "doc"], "left").select("query", "doc", "rank", F.coalesce(F.floor(3 * F.col("h") / F.col("m")), F.lit(0)).cast("long").alias("grade"))
+    return hits.withColumns({"cat": F.col("query") % 7, "part": F.col("query") % 2})
 
 
-@R.query(_HITS + " select query, count(*) filter (where grade = 2 and rank <= 5) / greatest(count(*) filter (where grade = 2), 1)::double as recall_5, coalesce(1.0 / min(rank) filter (where grade = 2), 0) as reciprocal_rank from h group by query")
+@R.query(_HITS + " select query, count(*) filter (where grade >= 2 and rank <= 5) / greatest(count(*) filter (where grade >= 2), 1)::double as recall_5, coalesce(1.0 / min(rank) filter (where grade >= 2), 0) as reciprocal_rank from h group by query")
 def a10_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
-    good = F.col("grade") == 2
+    good = F.col("grade") >= 2
     return _hits(spark, d).groupBy("query").agg(
         (F.count_if(good & (F.col("rank") <= 5)) / F.greatest(F.count_if(good), F.lit(1))).alias("recall_5"), F.coalesce(1.0 / F.min(F.when(good, F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank")
     )
@@ -204,8 +221,15 @@ def a12_ndcg(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("select event_type, quantile_disc(value, 0.95) as nearest_rank, round(quantile_cont(value, 0.95), 6) as linear from events group by event_type")
 def a13_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    nearest = F.expr("percentile_disc(0.95) within group (order by value)")
-    return table(spark, d, "events").groupBy("event_type").agg(nearest.alias("nearest_rank"), F.round(F.percentile("value", 0.95), 6).alias("linear"))
+    """Nearest rank and linear interpolation, from ranks counted in pieces: no group's values are in one place."""
+    rows = table(spark, d, "events").where("value is not null").select("event_type", "value", "event_id")
+    placed = positions(rows, ["event_type"], ["value", "event_id"], "n")
+    sizes = placed.groupBy("event_type").agg(F.count("*").alias("m"))
+    at = (F.col("m") - 1) * 0.95 + 1  # between two ranks
+    met = placed.join(sizes, "event_type").where((F.col("n") == F.ceil(F.col("m") * 0.95)) | (F.col("n") == F.floor(at)) | (F.col("n") == F.floor(at) + 1))
+    value = lambda test: F.max(F.when(test, F.col("value")))
+    ends = met.groupBy("event_type", "m").agg(value(F.col("n") == F.ceil(F.col("m") * 0.95)).alias("nearest_rank"), value(F.col("n") == F.floor(at)).alias("a"), value(F.col("n") == F.floor(at) + 1).alias("b"))
+    return ends.select("event_type", "nearest_rank", F.round(F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (at - F.floor(at)), 6).alias("linear"))
 
 
 @R.query(f"with g as ({FILTER_SQL['f08_structural_gate']}) select 'structural_gate' as stage, m.kind as source, case when reason = '' then 'qualified' else reason end as reason, count(*) as n from g join memories m using (memory_id) group by 2, 3")

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from memloom.functions import times, values
 from memloom.functions.keys import clean_id, micros
-from memloom.operators import claims, lexical, proposals
-from memloom.plans.analysis_queries import _CONSOLIDATED, _S, _STATUS, _TOPIC, _TYPE
+from memloom.operators import claims, proposals
+from memloom.plans.analysis_queries import _CONSOLIDATED, _JUDGED, _S, _STATUS, _TOPIC, _TYPE, judged
 from memloom.plans.filter_queries import memories, messages
 from memloom.plans.registry import Registry, sql_id, sql_label, sql_normal, sql_trim
-from memloom.plans.retrieval_queries import _BM25, _documents, _questions
 from memloom.providers import RuleAnalyzer
 from memloom.sources.tables import table
 
@@ -221,26 +220,12 @@ def prj12_candidate_evidence(spark: SparkSession, d: str) -> DataFrame:
     return memories(spark, d).select("memory_id", sources.alias("sources"), binding.alias("entity_binding"))
 
 
-# Quality over judged evidence: a document is relevant to an item if it holds most of the item's rarer words ----------
-
-
-_JUDGED = f"""with {_BM25}, qn as (select query, count(*) m from (select distinct query, term from q join df using (scope, term) where df.df * 20 <= (select n from st where st.scope = q.scope)) group by query),
-hit as (select q.query, po.doc, count(*) h from (select distinct q.query, q.scope, q.term from q join df using (scope, term) where df.df * 20 <= (select n from st where st.scope = q.scope)) q join po using (scope, term) group by q.query, po.doc),
-rel as (select hit.query, hit.doc from hit join qn using (query) where h * 2 >= m), top as (select query, doc, rank from bm where rank <= 20),
-j as (select r.query, r.doc, t.rank from rel r left join top t on t.query = r.query and t.doc = r.doc)"""
+# Quality over judged evidence: a document is relevant to an item if it has half of the item's rarer words ------------
 
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(the best twenty, relevant documents) of each item."""
-    docs, asked = _documents(spark, d), _questions(spark, d)
-    top = lexical.bm25(docs, asked, 20).select("query", "doc", "rank")
-    terms = asked.select("query", "scope", values.lexical_tokens("text").alias("t")).select("query", "scope", F.explode(F.array_distinct("t")).alias("term"))
-    tokens = docs.select("scope", "doc", values.lexical_tokens("text").alias("t"))
-    held = tokens.select("scope", "doc", F.explode(F.array_distinct("t")).alias("term")).join(F.broadcast(terms.select("scope", "term").distinct()), ["scope", "term"])
-    df = held.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    rare = terms.join(df, ["scope", "term"]).join(docs.groupBy("scope").agg(F.count("*").alias("n")), "scope").where("df * 20 <= n").select("query", "scope", "term")
-    hits = held.join(rare, ["scope", "term"]).groupBy("query", "doc").agg(F.count("*").alias("h"))
-    return top, hits.join(rare.groupBy("query").agg(F.count("*").alias("m")), "query").where("h * 2 >= m").select("query", "doc")
+    top, held = judged(spark, d)
+    return top, held.where("h * 2 >= m").select("query", "doc")
 
 
 @R.query(_JUDGED + " select query, count(*) as relevant, count(rank) as found, round(count(rank) / count(*)::double, 6) as recall, round(count(rank) / 20.0, 6) as precision, round(coalesce(1.0 / min(rank), 0), 6) as reciprocal_rank from j group by query")
