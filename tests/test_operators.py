@@ -21,6 +21,13 @@ def test_tokens(spark):
     assert one(spark, values.lexical_tokens(F.lit(""))) == []
 
 
+def test_tokens_and_texts_in_compatible_forms(spark):
+    assert one(spark, values.lexical_tokens(F.lit("ＦＯＯ_bar, 2026"))) == ["w:foo", "w:bar", "w:2026"]
+    assert one(spark, values.lexical_tokens(F.lit("Straße ﬁn"))) == ["w:strasse", "w:fin"]
+    assert one(spark, values.normal_text(F.lit(" Ｈｅｌｌｏ， World… "))) == "helloworld"
+    assert one(spark, values.nfkc(F.lit("ｶﾞ①"))) == "ガ1" and one(spark, values.nfkc(F.lit(None).cast("string"))) is None
+
+
 def test_bm25_closed_form_and_scope(spark):
     docs = [("a", 1, "red red blue"), ("a", 2, "blue green")] + [("b", i, "red x") for i in range(10, 20)]
     hits = lexical.bm25(spark.createDataFrame(docs, "scope string, doc long, text string"), spark.createDataFrame([(7, "a", "RED")], "query long, scope string, text string"), 5).collect()
