@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.operators.ranks import positions
+
 
 def half_edges(edges: DataFrame) -> DataFrame:
     """Each edge seen from either end: here, there, uuid, name, forward, valid_at."""
@@ -36,10 +38,19 @@ def explore(edges: DataFrame, anchors: DataFrame, names: Sequence[str], scan: in
 
     Shorter paths come first, then the order of edge ids; the bound is part of the operator. Columns: anchor, hops,
     nodes, edges, position.
+
+    A node with very many edges does not multiply: an anchor with ``scan`` neighbours has no room for longer paths, and of a
+    middle node only the first edges can be in an anchor's first ``scan`` paths: so many, one for the edge that led there, and as many as
+    may lead straight back.
     """
     half = half_edges(edges.where(F.col("name").isin(*names)))
-    one = anchors.join(half.withColumnRenamed("here", "anchor"), "anchor").select("anchor", F.col("there").alias("mid"), F.col("uuid").alias("first"))
-    two = one.join(half.select(F.col("here").alias("mid"), F.col("there").alias("last"), F.col("uuid").alias("second")), "mid").where("last <> anchor and second <> first")
+    near = anchors.join(half.withColumnRenamed("here", "anchor"), "anchor").select("anchor", F.col("there").alias("mid"), F.col("uuid").alias("first"))
+    by_edge = Window.partitionBy("anchor").orderBy("first", "mid")
+    one = near.withColumn("_n", F.row_number().over(by_edge)).where(F.col("_n") <= scan).drop("_n")
+    roomy = one.groupBy("anchor").agg(F.count("*").alias("_m")).where(F.col("_m") < scan).select("anchor")
+    back = half.groupBy("here", "there").agg(F.count("*").alias("_p")).groupBy("here").agg(F.max("_p").alias("_p"))
+    onward = positions(half.select("here", "there", "uuid", "forward"), ["here"], ["uuid", "forward"], "_at").join(back, "here").where(F.col("_at") <= scan + 1 + F.col("_p"))
+    two = one.join(roomy, "anchor").join(onward.select(F.col("here").alias("mid"), F.col("there").alias("last"), F.col("uuid").alias("second")), "mid").where("last <> anchor and second <> first")
     found = one.select("anchor", F.lit(1).alias("hops"), F.array("anchor", "mid").alias("nodes"), F.array("first").alias("edges")).unionByName(
         two.select("anchor", F.lit(2).alias("hops"), F.array("anchor", "mid", "last").alias("nodes"), F.array("first", "second").alias("edges"))
     )

@@ -161,3 +161,12 @@ def test_stream_is_replayable_and_bound(spark, tmp_path):
     ingest.bind_checkpoint(spark, f"file://{tmp_path}/c", "task", 1, shape)
     with pytest.raises(ingest.CheckpointMismatch):
         ingest.bind_checkpoint(spark, f"file://{tmp_path}/c", "task", 2, shape)
+
+
+def test_hubs_do_not_multiply_and_nothing_is_lost(spark):
+    rows = [(f"h{i:03d}", "a", "hub", "E") for i in range(3)] + [(f"x{i:04d}", "hub", f"n{i}", "E") for i in range(400)] + [("z", "hub", "a", "E")] + [(f"b{i:03d}", "big", f"m{i}", "E") for i in range(300)]
+    edges = spark.createDataFrame([(*r, None) for r in rows], "uuid string, source string, target string, name string, valid_at timestamp")
+    anchors = spark.createDataFrame([("a",), ("big",)], "anchor string")
+    got = {(r.anchor, r.position): (r.hops, r.edges) for r in graph.explore(edges, anchors, ["E"], scan=20).collect()}
+    paths = sorted([(1, [u]) for u in ("h000", "h001", "h002", "z")]) + sorted((2, [f, u]) for f in ("h000", "h001", "h002", "z") for u, s, t, _ in rows if s == "hub" and t != "a")
+    assert [got["a", i + 1] for i in range(20)] == paths[:20] and [got["big", i + 1] for i in range(20)] == [(1, [f"b{i:03d}"]) for i in range(20)]
