@@ -95,3 +95,28 @@ def bounded_phrase(c: Column, most: int) -> Column:
     """White space collapsed, unprintable characters dropped, cut to ``most`` characters."""
     plain = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\x{85}]+", " "))
     return F.substring(F.regexp_replace(plain, r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}]|[\p{Zs}&&[^ ]]", ""), 1, most)
+
+
+def episode_name(ident: Column, fingerprint: Column, version: Column) -> Column:
+    """Name under which a record is indexed: its id in URL-safe base64, its fingerprint and version."""
+    encoded = F.rtrim(F.translate(F.base64(F.encode(ident, "utf-8")), "+/=\r\n", "-_"))
+    return F.concat_ws(":", F.lit("episode"), F.lit("v5"), encoded, fingerprint, version.cast("string"))
+
+
+def episode_parts(name: Column) -> Column:
+    """Struct (ident, fingerprint, version) of an episode's name; null if it is none."""
+    parts = F.split(name, ":")
+    encoded = F.translate(F.get(parts, F.lit(2)), "-_", "+/")
+    padded = F.rpad(encoded, (F.ceil(F.length(encoded) / 4) * 4).cast("int"), F.lit("="))
+    ident = F.decode(F.unbase64(padded), "utf-8")
+    fine = (F.size(parts) == 5) & (F.get(parts, F.lit(0)) == "episode") & (F.get(parts, F.lit(1)) == "v5")
+    return F.when(fine, F.struct(ident.alias("ident"), F.get(parts, F.lit(3)).alias("fingerprint"), F.get(parts, F.lit(4)).cast("int").alias("version")))
+
+
+def swap_terms(text: Column, terms: dict[str, str]) -> Column:
+    """Every key of ``terms`` replaced by its value, all at once: what one replacement puts in, no other changes. Longer keys first."""
+    for i, x in enumerate(sorted(terms, key=lambda x: (-len(x), x))):
+        text = F.replace(text, F.lit(x), F.lit(chr(0xE000 + i)))
+    for i, x in enumerate(sorted(terms, key=lambda x: (-len(x), x))):
+        text = F.replace(text, F.lit(chr(0xE000 + i)), F.lit(terms[x]))
+    return text

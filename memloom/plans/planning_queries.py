@@ -16,6 +16,7 @@ from memloom.operators import graph, lexical, planning, style, vectors
 from memloom.plans.filter_queries import memories, messages
 from memloom.plans.registry import Registry, sql_id, sql_label, sql_nfkc, sql_normal
 from memloom.plans.retrieval_queries import _ASK, _BM25, _EDGES, _EXPLORED, _documents, _explored, _questions, edges
+from memloom.providers import ByColumn, rerank
 from memloom.sources.tables import table
 
 R = Registry()
@@ -297,3 +298,44 @@ def w05_rerank_order(spark: SparkSession, d: str) -> DataFrame:
     top = lexical.bm25(_documents(spark, d), _questions(spark, d), 20).select("query", "doc", "rank")
     scored = top.join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "n_chars"), "doc")
     return scored.select("query", "doc", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_chars"), "rank")).alias("position"))
+
+
+@R.query("""select memory_id, 'episode:v5:' || replace(replace(rtrim(base64(encode(memory_id)), '='), '+', '-'), '/', '_') || ':' || substr(sha256(coalesce(content, '-')), 1, 16) || ':' || version as name, memory_id as decoded, version::bigint as version from memories where version is not null""")
+def c25_episode_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of indexed records, and what they say when read back."""
+    name = planning.episode_name(F.col("memory_id"), F.substring(F.sha2(F.coalesce("content", F.lit("-")), 256), 1, 16), F.col("version"))
+    rows = memories(spark, d).where("version is not null").select("memory_id", name.alias("name")).withColumn("x", planning.episode_parts(F.col("name")))
+    return rows.select("memory_id", "name", F.col("x.ident").alias("decoded"), F.col("x.version").cast("long").alias("version"))
+
+
+@R.query("""select kind, state, count(*) as records, sha256('{"kinds":["' || kind || '"],"states":["' || state || '"],"view":"current"}') as fingerprint from memories where kind is not null and state is not null group by kind, state""")
+def c27_plan_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """A fingerprint of the plan that asks for each kind and state: the hash of its JSON with sorted keys."""
+    plan = F.to_json(F.struct(F.array("kind").alias("kinds"), F.array("state").alias("states"), F.lit("current").alias("view")))
+    sizes = memories(spark, d).where("kind is not null and state is not null").groupBy("kind", "state").agg(F.count("*").alias("records"))
+    return sizes.select("kind", "state", "records", F.sha2(plan, 256).alias("fingerprint"))
+
+
+@R.query("select delivery_id, replace(replace(replace(replace(replace(replace(text, 'contact', chr(1)), 'owner', chr(2)), '联系人', chr(3)), chr(1), 'owner'), chr(2), 'contact'), chr(3), '主人') as text from messages where text is not null")
+def c32_swapped_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with their entities exchanged at once, for checks that answers follow the names."""
+    return messages(spark, d).where("text is not null").select("delivery_id", planning.swap_terms(F.col("text"), {"contact": "owner", "owner": "contact", "联系人": "主人"}).alias("text"))
+
+
+@R.query("""with r as (select 'c' || o_custkey anchor, 'p' || l_partkey as last, o_orderdate <= timestamp '1995-01-01' early from orders join lineitem on l_orderkey = o_orderkey)
+select anchor, last, count(distinct early) as routes, count(*) as paths from r group by anchor, last""")
+def j20_fused_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Two exact routes from every customer to the parts they bought (before a time, after it), fused by where they lead."""
+    e = edges(spark, d)
+    early = F.col("valid_at") <= F.lit("1995-01-01 00:00:00").cast("timestamp")
+    anchors = table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("anchor")).distinct()
+    routes = [graph.typed_paths(e.where((F.col("name") != "PLACED") | (early if k else ~early)), anchors, [("PLACED", True), ("CONTAINS", True)]).select("anchor", F.col("nodes")[2].alias("last"), F.lit(k).alias("route")) for k in (0, 1)]
+    return routes[0].unionByName(routes[1]).groupBy("anchor", "last").agg(F.count_distinct("route").alias("routes"), F.count("*").alias("paths"))
+
+
+@R.query("select scope_key, memory_id, row_number() over (partition by scope_key order by confidence desc nulls last, n) as position from (select scope_key, memory_id, confidence, row_number() over (partition by scope_key order by created_at desc, memory_id) n from memories) where n <= 50")
+def x03_reranked(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty newest records of each scope through a reranker behind its interface."""
+    order = Window.partitionBy("scope_key").orderBy(F.desc("created_at"), "memory_id")
+    newest = memories(spark, d).select("scope_key", "memory_id", "confidence", F.row_number().over(order).alias("rank")).where("rank <= 50")
+    return rerank(newest, ByColumn("confidence"), "scope_key").select("scope_key", "memory_id", "position")

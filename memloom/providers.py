@@ -11,7 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 class EmbeddingProvider(Protocol):
@@ -73,3 +73,23 @@ class RuleAnalyzer:
     def drafts(self, messages: DataFrame, text: str) -> DataFrame:
         each = [F.struct(F.lit(kind).alias("memory_type"), F.nullif(F.regexp_extract(text, rule, 1), F.lit("")).alias("content"), F.lit(sure).alias("confidence")) for kind, sure, rule in self.RULES]
         return messages.select("*", F.explode(F.filter(F.array(*each), lambda x: x.content.isNotNull())).alias("_d")).select(*messages.columns, "_d.*")
+
+
+class Reranker(Protocol):
+    def order(self, df: DataFrame, query: str) -> list[Column]:
+        """Sort columns by which the candidates of each ``query`` are put in order; the place they had comes last."""
+
+
+class ByColumn:
+    """Reranks by a column, the greatest first; what has none keeps its order behind the others."""
+
+    def __init__(self, column: str):
+        self.column = column
+
+    def order(self, df: DataFrame, query: str) -> list[Column]:
+        return [F.desc_nulls_last(self.column)]
+
+
+def rerank(df: DataFrame, reranker: Reranker, query: str, rank: str = "rank") -> DataFrame:
+    """``df`` with the position that ``reranker`` gives each candidate; ties keep the order of ``rank``."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(query).orderBy(*reranker.order(df, query), rank)))
