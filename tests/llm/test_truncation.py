@@ -70,3 +70,18 @@ def test_an_open_or_broken_end_is_cut_whatever_length_was_announced(spark):
     ends = ["We moved the review (to Tel", "We moved the review to \\u00", "We moved the review to Tellow"]
     df = spark.createDataFrame([(i, x, "notes", len(x) + 2) for i, x in enumerate(ends)], "doc_id long, text string, source string, declared int")
     assert {r.doc_id for r in t.inspect(df, declared="declared").where("truncated").collect()} == {0, 1}
+
+
+def test_the_result_does_not_depend_on_partitions(spark):
+    rows, cut = texts()
+    rows += [(5000 + i, "We moved the review to the", "notes") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [{tuple(r) for r in t.inspect(df.repartition(n, "doc_id")).collect()} for n in (1, 7)]
+    assert found[0] == found[1] and {r[0] for r in found[0] if r[2]} >= cut
+
+
+def test_keys_are_the_same_in_any_batch():
+    ends = ["We keep the lamp near the door", "你好！我们明天见。早上好", "x " * 900 + "the end", "one"]
+    alone = [t.ending_keys([x])[0] for x in ends]
+    assert t.ending_keys(ends) == alone and t.ending_keys(ends[::-1]) == alone[::-1] and all(alone)
+    assert t.ending_keys(["", "…"]) == [[], []]
