@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -223,30 +224,58 @@ _HAN_ONLY = re.compile(f"{_HAN}+")
 def alike(words: Sequence[str]) -> list[tuple[int, int]]:
     """Pairs of places in ``words`` with the same word, and with nearly the same (one letter more, less or other; five letters at least).
 
-    A star for each word and for each near pair of words: as many edges as words, not as pairs of places."""
+    A star for each word and an edge for each near pair of words, none left out: as many edges as words and near pairs, not as pairs of places."""
     by: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         by.setdefault(w, []).append(i)
     edges = [(at[0], j) for at in by.values() for j in at[1:]]
-    # Words that differ in one letter share one of their halves.
-    halves: dict[tuple[str, bool], list[str]] = {}
-    for w in by:
-        if len(w) >= 5:
-            halves.setdefault((w[:2], True), []).append(w)
-            halves.setdefault((w[-2:], False), []).append(w)
-    near = {(x, y) if x < y else (y, x) for group in halves.values() for k, x in enumerate(group) for y in group[k + 1 : k + 9] if _one_off(x, y)}
-    return edges + [(by[x][0], by[y][0]) for x, y in sorted(near)]
-
-
-def _one_off(x: str, y: str) -> bool:
-    if len(x) > len(y):
-        x, y = y, x
-    if len(y) - len(x) > 1:
-        return False
-    k = 0
-    while k < len(x) and x[k] == y[k]:
-        k += 1
-    return x[k + (len(x) == len(y)) :] == y[k + 1 :]
+    return edges + [(by[x][0], by[y][0]) for x, y in sorted(_near([w for w in by if len(w) >= 5]))]
+
+
+#: Base and modulus of the hashes by which near words are looked up.
+_BASE, _MODULUS = 1_000_003, (1 << 61) - 1
+
+
+def _hash(word: str) -> int:
+    h = 0
+    for c in reversed(word):
+        h = (h * _BASE + ord(c)) % _MODULUS
+    return h
+
+
+def _near(words: Sequence[str]) -> set[tuple[str, str]]:
+    """All pairs (the smaller first) of the distinct ``words`` that differ in one letter: one more, less or other.
+
+    Words of one length are near if they are the same with one letter blanked, words of two lengths if the longer is the shorter with
+    one letter left out. Both hashes are rolled along the letters and only words whose hashes meet are compared, so time goes with
+    the letters and the pairs found, however many words share their beginning or end."""
+    sizes: dict[int, list[str]] = {}
+    for w in words:
+        sizes.setdefault(len(w), []).append(w)
+    near = set()
+    for n, group in sizes.items():
+        if len(group) > 1:
+            whole, power = [_hash(w) for w in group], 1
+            for k in range(n):
+                blanked: dict[int, list[str]] = {}
+                for h, w in zip(whole, group):
+                    blanked.setdefault((h - ord(w[k]) * power) % _MODULUS, []).append(w)
+                for same in blanked.values():
+                    near.update((x, y) if x < y else (y, x) for x, y in combinations(same, 2) if x[:k] == y[:k] and x[k + 1 :] == y[k + 1 :])
+                power = power * _BASE % _MODULUS
+        if n - 1 in sizes:
+            shorter: dict[int, list[str]] = {}
+            for x in sizes[n - 1]:
+                shorter.setdefault(_hash(x), []).append(x)
+            for y in group:
+                h, power = _hash(y[1:]), 1
+                for k in range(n):
+                    if h in shorter and (not k or y[k] != y[k - 1]):  # of a run of one letter, the first
+                        near.update((x, y) if x < y else (y, x) for x in shorter[h] if x[:k] == y[:k] and x[k:] == y[k + 1 :])
+                    if k < n - 1:
+                        h = (h + (ord(y[k]) - ord(y[k + 1])) * power) % _MODULUS
+                        power = power * _BASE % _MODULUS
+    return near
 
 
 @lru_cache(2)
@@ -285,6 +314,10 @@ def fitted(count: int = SAMPLE, rounds: int = 250, ridge: float = 0.5) -> Names:
     return Names({k: float(w[i]) for k, i in number.items() if i and abs(w[i]) > 0.01})
 
 
+#: Skip edges, at most, of a text whose labels are remembered by its potentials and edges.
+REMEMBERED = 1000
+
+
 class Tagger:
     """Weights and the tagging of one text; immutable, so results can be remembered by their inputs."""
 
@@ -427,25 +460,29 @@ class Tagger:
     # Inference ------------------------------------------------------------------------------------------------
 
     def _infer(self, nodes: tuple[tuple[float, ...], ...], skips: tuple[tuple[int, int], ...], joined: tuple[bool, ...] = ()) -> tuple[int, ...]:
-        """Most likely label of each node after loopy sum-product message passing. ``joined``: whether a node is of one run with the next."""
-        own = np.exp(np.array(nodes))
-        edges = [(i, i + 1, self._run if joined and joined[i] else self._near) for i in range(len(nodes) - 1)] + [(i, j, self._same) for i, j in skips]
-        to = np.ones((2 * len(edges), 6))  # 2k: to the edge's second node; 2k + 1: to its first
+        """Most likely label of each node after loopy sum-product message passing. ``joined``: whether a node is of one run with the next.
+
+        In logarithms, so that a node may have any number of edges."""
+        own = np.array(nodes)
+        chain = np.arange(len(nodes) - 1)
+        run = np.array(joined, bool) if joined else np.zeros(len(chain), bool)
+        far = np.array(skips, int).reshape(-1, 2)
+        i = np.concatenate((chain[~run], chain[run], far[:, 0]))
+        j = np.concatenate((chain[~run] + 1, chain[run] + 1, far[:, 1]))
+        edges, others, within = len(i), len(chain) - int(run.sum()), len(chain)
+        source, target = np.concatenate((i, j)), np.concatenate((j, i))
+        back = np.concatenate((np.arange(edges, 2 * edges), np.arange(edges)))  # the other way over the same edge
+        slots = (target[:, None] * 6 + np.arange(6)).ravel()
+        beliefs = lambda: own + np.bincount(slots, to.ravel(), own.size).reshape(own.shape)
+        kinds = [(slice(a, b), w) for a, b, w in ((0, others, self._near), (others, within, self._run), (within, edges, self._same)) if a < b]
+        to = np.zeros((2 * edges, 6))  # first to the edges' second nodes, then to their first
         for _ in range(self.rounds if edges else 0):
-            belief = own.copy()
-            for k, (i, j, _w) in enumerate(edges):
-                belief[j] *= to[2 * k]
-                belief[i] *= to[2 * k + 1]
-            new = np.empty_like(to)
-            for k, (i, j, w) in enumerate(edges):
-                new[2 * k] = (belief[i] / to[2 * k + 1]) @ w
-                new[2 * k + 1] = w @ (belief[j] / to[2 * k])
-            to = new / new.sum(1, keepdims=True)
-        belief = own
-        for k, (i, j, _w) in enumerate(edges):
-            belief[j] = belief[j] * to[2 * k]
-            belief[i] = belief[i] * to[2 * k + 1]
-        return tuple(int(x) for x in belief.argmax(1))
+            out = beliefs()[source] - to[back]
+            out = np.exp(out - out.max(1, keepdims=True)).reshape(2, edges, 6)
+            for part, w in kinds:
+                out[:, part] = out[:, part] @ w
+            to = np.log(out / out.sum(2, keepdims=True)).reshape(-1, 6)
+        return tuple(int(x) for x in beliefs().argmax(1))
 
     def tag(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, label) of the personal items in ``text``, in code points, in order."""
@@ -462,7 +499,9 @@ class Tagger:
                     words.append(x)
                     owner.append(i)
             skips = sorted({(min(owner[i], owner[j]), max(owner[i], owner[j])) for i, j in alike(words) if owner[i] != owner[j]})
-            labels = self._labels(tuple(tuple(round(x, 2) for x in w) for _, _, w in found), tuple(skips), joined)
+            # What has very many edges seldom comes again and takes room.
+            infer = self._labels if len(skips) <= REMEMBERED else self._infer
+            labels = infer(tuple(tuple(round(x, 2) for x in w) for _, _, w in found), tuple(skips), joined)
         out: list[tuple[int, int, int]] = []
         for k, ((a, b, _), lab) in enumerate(zip(found, labels)):
             if lab == NAME and out and out[-1][2] == NAME and k and joined[k - 1] and labels[k - 1] == NAME:

@@ -44,6 +44,29 @@ def test_alike_words_are_linked_and_not_others():
     assert set(pii.alike(words)) == {(0, 4), (0, 1), (0, 3)}
 
 
+def test_all_near_words_are_linked_however_many_share_a_beginning_or_end():
+    import itertools
+    import random
+
+    blanked = lambda w: {(w[:k], w[k + 1 :]) for k in range(len(w))}
+    shorter = lambda w: {w[:k] + w[k + 1 :] for k in range(len(w))}
+    rnd = random.Random(3)
+    crowd = ["ravenna", *("ra" + c * 3 + "na" for c in "bcdfghjklm"), "ravanna"]
+    mixed = list({"ra" + "".join(rnd.choice("abé中") for _ in range(rnd.randint(2, 5))) + "na" for _ in range(300)})
+    for words in (crowd, mixed, [f"555{i:04}" for i in range(300)]):
+        want = {frozenset((i, j)) for (i, x), (j, y) in itertools.combinations(enumerate(words), 2) if blanked(x) & blanked(y) or x in shorter(y) or y in shorter(x)}
+        got = pii.alike(words)
+        assert {frozenset(e) for e in got} == want and len(got) == len(want) > 0
+    # The edge decides in a text: ten other words begin and end as the two do.
+    text = "Dr. Ravenna moved the appointment. " + " ".join(f"The train to {w.title()} was late." for w in crowd[1:-1]) + " Later Ravanna rang."
+    assert [text[a:b] for a, b, _ in pii.Tagger(prior=-3.0).tag(text)] == ["Ravenna", "Ravanna"]
+
+
+def test_a_node_may_have_any_number_of_edges():
+    text = "Dr. Ravenna moved the appointment. " + "Later Ravenna rang. " * 1500
+    assert [text[a:b] for a, b, _ in pii.Tagger().tag(text)] == ["Ravenna"] * 1501
+
+
 def test_loopy_messages_agree_with_exact_sums_on_a_tree():
     import itertools
 
